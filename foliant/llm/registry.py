@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import jaccard
+from foliant.llm import jaccard, quality, repeats, repetition
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_repetition_coverage": repetition.op4_repetition_coverage,
         "op5_jaccard_join": jaccard.op5_jaccard_join,
+        "op7_repeated_passages": repeats.op7_repeated_passages,
+        "op8_quality_classifier": quality.op8_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_repetition_coverage": repetition.SQL,
         "op5_jaccard_join": jaccard.SQL,
+        "op7_repeated_passages": repeats.SQL,
     }
