@@ -36,6 +36,8 @@ FIT_DOCUMENTS = 20_000
 #: Slots of the hashed features.
 SLOTS = 1 << 17
 ROUNDS = 150
+#: Prior share of false alarms of a labeller, and of bad documents.
+ALARMS, SHARE = 0.004, 0.1
 
 STOPWORDS = (
     "the of and to in a is that for on with as was are by it from this be an or at not have has "
@@ -50,7 +52,7 @@ INSULTS = (
     "idiota estúpido estúpida imbécil basura asqueroso idiote stupide imbécile salaud ordure dégoûtant "
     "dumm dummkopf abschaum wertlos ekelhaft vollidiot trottel"
 ).split()
-QUALITY = ["capitals", "symbols", "shouting", "separators", "stutter", "variety", "stopwords", "sentences", "word_length", "lines"]
+QUALITY = ["symbols", "shouting", "separators", "stutter", "stopwords", "sentences", "word_length", "lines"]
 TOXIC = ["any_insult", "insults", "density", "kinds"]
 
 
@@ -112,6 +114,11 @@ def _vote(value: np.ndarray, good, bad, known: np.ndarray) -> np.ndarray:
     return np.where(~known, 0, np.where(bad(value), 2, np.where(good(value), 1, 0))).astype(np.int64)
 
 
+def _any(*votes: np.ndarray) -> np.ndarray:
+    """Bad if one of the votes is, good if all cast are."""
+    return np.where(np.any([v == 2 for v in votes], axis=0), 2, np.max(votes, axis=0))
+
+
 def votes(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Patterns of the quality and of the toxicity labellers, as numbers of base 3."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -123,6 +130,12 @@ def votes(t: Texts) -> tuple[np.ndarray, np.ndarray]:
         again = np.zeros(len(w.start), bool)
         again[1:] = (t.core[1:] == t.core[:-1]) & (w.doc[1:] == w.doc[:-1])
         single = (w.end - w.start == 1) & _MARK[data[w.start]]
+        # words that end in a mark, and that hold a mark twice running
+        marked = _MARK[data[w.end - 1]] if len(w.end) else np.zeros(0, bool)
+        twice = np.zeros(len(data) + 1, np.int64)
+        if len(data) > 1:
+            twice[2:] = np.cumsum(_MARK[data[1:]] & (data[1:] == data[:-1]))
+        runs = twice[w.end] - twice[np.minimum(w.start + 1, len(data))] > 0
         stop = _among(t.core, _STOP)
         insult = _among(t.core, _INSULT)
         # distinct words among the text's words, for texts long enough to tell
@@ -134,18 +147,29 @@ def votes(t: Texts) -> tuple[np.ndarray, np.ndarray]:
         insult_new = new & insult[order]
         insult_kinds = np.bincount(w.doc[order][insult_new], minlength=t.docs)
         insults = t.words_with(insult)
+        # one labeller for each kind of defect, so that they err apart from each other; all but
+        # the one for stop words only speak up where they find theirs
         q = [
-            _vote(t.per_doc(_UPPER[data]) / letters, lambda v: v < 0.12, lambda v: v > 0.3, text),
-            _vote(t.per_doc(_MARK[data]) / size, lambda v: v < 0.01, lambda v: v > 0.04, some),
-            _vote(t.per_doc(data == 33) / n, lambda v: v < 0.05, lambda v: v > 0.25, text),
+            _any(
+                _vote(t.per_doc(_MARK[data]) / size, lambda v: v < 0.01, lambda v: v > 0.04, some),
+                _vote(t.words_with(marked) / n, lambda v: v < 0.03, lambda v: v > 0.15, some),
+                _vote(t.words_with(runs) / n, lambda v: v < 0.02, lambda v: v > 0.1, some),
+            ),
+            _any(
+                _vote(t.per_doc(_UPPER[data]) / letters, lambda v: v < 0.12, lambda v: v > 0.3, text),
+                _vote(t.per_doc(data == 33) / n, lambda v: v < 0.05, lambda v: v > 0.25, text),
+            ),
             _vote(t.words_with(single) / n, lambda v: v < 0.02, lambda v: v > 0.15, some),
-            _vote(t.words_with(again) / n, lambda v: v < 0.05, lambda v: v > 0.15, text),
-            _vote(kinds / np.sqrt(n), lambda v: v > 4.0, lambda v: v < 2.0, t.n >= 40),
+            _any(
+                _vote(t.words_with(again) / n, lambda v: v < 0.05, lambda v: v > 0.15, text),
+                _vote(kinds / np.sqrt(n), lambda v: v > 4.0, lambda v: v < 2.0, t.n >= 40),
+            ),
             _vote(t.words_with(stop) / n, lambda v: v > 0.12, lambda v: v < 0.03, text),
             _vote(n / np.maximum(1, t.per_doc(ends)), lambda v: (v > 3) & (v < 40), lambda v: (v < 1.5) | (v > 80), t.n >= 40),
-            _vote(size / n, lambda v: (v > 4) & (v < 9), lambda v: (v > 10) | (v < 2.5), text),
+            _vote(size / n, lambda v: (v > 4) & (v < 9), lambda v: (v > 14) | (v < 2.5), text),
             _vote(n / np.maximum(1, t.per_doc(data == 10)), lambda v: v > 8, lambda v: v < 2, t.n >= 40),
         ]
+        q = [v if k == QUALITY.index("stopwords") else np.where(v == 2, 2, 0) for k, v in enumerate(q)]
         x = [
             np.where(~some, 0, np.where(insults > 0, 2, 1)),
             np.where(~some, 0, np.where(insults > 1, 2, np.where(insults == 0, 1, 0))),
@@ -158,26 +182,30 @@ def votes(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """Expectation-maximisation; the posterior of *bad* for each pattern, vote probabilities, share of bad.
 
-    patterns: numbers of base 3; starts from the share of bad votes.  A labeller's
-    probabilities are smoothed by one vote, and a pattern without votes keeps
-    the prior.
+    patterns: numbers of base 3.  ``table[y, i, v]`` is how often labeller i casts
+    vote v on documents of class y (0 good, 1 bad); a vote not cast says nothing.  Each
+    labeller looks for one defect and a bad document need not have all of them, so it
+    starts from the belief that any vote against a document tells.  False alarms
+    and the share of bad documents are drawn towards ``ALARMS`` and ``SHARE`` with the weight of
+    all documents, other probabilities by one vote.
     """
     digits = np.stack([patterns // 3**i % 3 for i in range(labellers)], axis=1)
     cast, against = (digits > 0).sum(axis=1), (digits == 2).sum(axis=1)
-    bad = np.where(cast > 0, (against + 0.1) / (cast + 0.4), 0.2)
-    table = np.zeros((2, labellers, 3))
-    share = 0.5
+    bad = np.where(against > 0, 0.95, np.where(cast > 0, 0.03, SHARE))
+    table, share = np.ones((2, labellers, 3)), SHARE
+    total = float(counts.sum())
     for _ in range(rounds):
         weight = np.stack([counts * (1 - bad), counts * bad])
-        share = float(weight[1].sum() / max(1e-9, weight.sum()))
+        share = (float(weight[1].sum()) + SHARE * total) / max(1e-9, 2 * total)
         for y in range(2):
             for i in range(labellers):
-                table[y, i] = np.bincount(digits[:, i], weights=weight[y], minlength=3) + 1.0
-        table /= table.sum(axis=2, keepdims=True)
+                n = np.bincount(digits[:, i], weights=weight[y], minlength=3)
+                table[y, i] = (n + 1) / (weight[y].sum() + 3)
+                if y == 0:
+                    table[y, i, 2] = (n[2] + ALARMS * total + 0.01) / (weight[y].sum() + total + 1)
         logs = np.log(table)
-        # a vote not cast says little about quality: only votes count
         logs[:, :, 0] = 0.0
-        odds = np.log(max(share, 1e-6) / max(1 - share, 1e-6)) + sum((logs[1] - logs[0])[i, digits[:, i]] for i in range(labellers))
+        odds = np.log(share / (1 - share)) + sum((logs[1] - logs[0])[i, digits[:, i]] for i in range(labellers))
         new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
         done = np.abs(new - bad).max(initial=0) < 1e-9
         bad = new
