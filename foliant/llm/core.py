@@ -134,22 +134,24 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, lineage cut.
-
-    The folder is the session's; one is set only where the session has none, as
-    in tests.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one is made only where none is set, as in tests."""
+    sc = spark.sparkContext
+    place = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if place is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        place = tempfile.mkdtemp(prefix="foliant-checkpoint-")
     if sc.getCheckpointDir() is None:
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if place is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            place = tempfile.mkdtemp(prefix="foliant-checkpoint-")
         sc.setCheckpointDir(place)
+    return place
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder, lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

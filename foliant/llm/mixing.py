@@ -22,8 +22,8 @@ block, so no task handles a whole source.
 
 A null source is one of its own, named ''.  A document without words (null or blank
 text) has no tokens: it takes part in whole passes, and in a partial one where its
-place is below the budget.  Rows that repeat a doc_id are documents of their own, ordered by
-their text.
+place is below the budget.  Rows that repeat a doc_id are documents of their own; rows that
+also repeat the text stand at one place and a partial pass takes all of them or none.
 """
 
 from __future__ import annotations
@@ -36,13 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.llm.core import Words, buffers, documents, durable, fresh, pieces
 
-ENTROPY = 0.97
-MAX_EPOCHS = 3.0
+ENTROPY = 0.999
+MAX_EPOCHS = 2.0
 BLOCK = 1000
 STEPS = 40
+#: Sources whose plan is sent to every task; beyond it, it is joined.
+SENT_SOURCES = 1_000
 
 
 def words(docs: DataFrame, name: str = "n_tokens") -> DataFrame:
@@ -54,7 +57,7 @@ def words(docs: DataFrame, name: str = "n_tokens") -> DataFrame:
             n = np.diff(Words(*buffers(batch.column(where)), hashed=False).first)
             yield pa.record_batch([*batch.columns, pa.array(n.astype(np.int64))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema.add(name, "long"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def exponent(shares: list[float], entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, total: float | None = None) -> float:
@@ -109,58 +112,77 @@ def plan(sizes: list[tuple[str, int]], entropy: float = ENTROPY, max_epochs: flo
     return out
 
 
-def _order(*parts):
-    """A sort key that SQL engines agree on."""
-    return F.md5(F.concat_ws(":", *parts))
+def _key(*parts):
+    """An order that SQL engines agree on."""
+    return F.md5(F.concat_ws(":", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]))
 
 
-def mix(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(doc_id, source, text_md5, n_tokens, pass, block, start): a row for each use of a document.
+def _placed(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """With the source's plan, the block of each row, and the order of blocks and rows in the partial pass."""
+    number = F.conv(F.substring(_key("doc_id", "text_md5"), 1, 12), 16, 10).cast("long")
+    return (
+        rows.join(table, "source").withColumn("block", number % F.col("blocks")).withColumn("block_key", _key("source", "whole", "block")).withColumn("row_key", _key("doc_id", "text_md5", "whole"))
+    )
 
-    start: the source's tokens before this document in its pass; only in the partial pass, 0 elsewhere.
-    """
-    spark = docs.sparkSession
+
+def _planned(docs: DataFrame, entropy: float, max_epochs: float, budget: int | None, block: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The rows without their texts, the plan of each source, and whether it is small enough to be sent."""
     counted = words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text")))
     rows = durable(counted.select("doc_id", "source", "n_tokens", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")))
-    sizes = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).orderBy("source")
     # one row for each source
-    found = [(r.source, int(r.tokens), int(r.n)) for r in sizes.collect()]
+    found = [(r.source, int(r.tokens), int(r.n)) for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).orderBy("source").collect()]
     made = plan([(s, t) for s, t, _ in found], entropy, max_epochs, budget)
-    table = spark.createDataFrame([(s, whole, part, max(1, -(-n // block))) for (s, _, _, whole, part), (_, _, n) in zip(made, found, strict=True)], "source string, whole long, part long, blocks long")
-    # sources are few; the table is sent only while that is so
-    table = F.broadcast(table) if len(found) <= 100_000 else table
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_md5")), 1, 12), 16, 10).cast("long")
-    placed = rows.join(table, "source").withColumn("block", key % F.col("blocks"))
-    whole = placed.withColumn("pass", F.explode(F.expr("CASE WHEN whole > 0 THEN sequence(0L, whole - 1) ELSE array() END"))).withColumn("start", F.lit(0).cast("long"))
-    last = placed.filter("part > 0").withColumn("pass", F.col("whole"))
-    sums = last.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.first("pass").alias("pass"))
-    by_block = W.partitionBy("source").orderBy(_order("source", "pass", "block"), "block").rowsBetween(W.unboundedPreceding, -1)
-    begin = sums.withColumn("begin", F.coalesce(F.sum("size").over(by_block), F.lit(0))).select("source", "block", "begin")
-    inside = W.partitionBy("source", "block").orderBy(_order(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_md5", "pass"), "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    table = docs.sparkSession.createDataFrame(
+        [(s, whole, part, max(1, -(-n // block))) for (s, _, _, whole, part), (_, _, n) in zip(made, found, strict=True)], "source string, whole long, part long, blocks long"
+    )
+    few = len(found) <= SENT_SOURCES
+    return rows, F.broadcast(table) if few else table, few
+
+
+def _partial(placed: DataFrame) -> DataFrame:
+    """Rows of the partial passes, with the tokens before them; equal rows have the same place."""
+    last = placed.filter("part > 0")
+    sums = last.groupBy("source", "block", "block_key").agg(F.sum("n_tokens").alias("size"))
+    by_block = W.partitionBy("source").orderBy("block_key").rowsBetween(W.unboundedPreceding, -1)
+    begin = sums.select("source", "block", F.coalesce(F.sum("size").over(by_block), F.lit(0)).alias("begin"))
+    inside = W.partitionBy("source", "block").orderBy("row_key").rowsBetween(W.unboundedPreceding, -1)
     opened = last.join(begin, ["source", "block"]).filter("begin < part")
-    partial = opened.withColumn("start", F.col("begin") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).filter("start < part")
+    counted = opened.withColumn("start", F.col("begin") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    return counted.withColumn("start", F.min("start").over(W.partitionBy("source", "block", "row_key"))).filter("start < part")
+
+
+def mix(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(doc_id, source, text_md5, n_tokens, pass, block, start): a row for each use of a document.
+
+    start: the source's tokens before this document in the partial pass, 0 in whole ones.
+    """
+    rows, table, _ = _planned(docs, entropy, max_epochs, budget, block)
+    placed = _placed(rows, table)
     columns = ["doc_id", "source", "text_md5", "n_tokens", "pass", "block", "start"]
-    return whole.select(columns).unionByName(partial.select(columns))
+    whole = placed.filter("whole > 0").withColumn("pass", F.explode(F.expr("sequence(0L, whole - 1)"))).withColumn("start", F.lit(0).cast("long"))
+    return whole.select(columns).unionByName(_partial(placed).withColumn("pass", F.col("whole")).select(columns))
 
 
 def mixed(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Rows of ``docs``, all columns as they are, as often as the mix uses them."""
-    uses = mix(docs, entropy, max_epochs, budget, block)
-    # rows of a document that are equal in doc_id, source and text share their uses
-    times = durable(uses.groupBy("doc_id", "source", "text_md5").agg(F.count("*").alias("uses")))
-    names = {c: fresh(docs, f"mix_{c}") for c in times.columns}
-    times = times.select([F.col(c).alias(n) for c, n in names.items()])
-    again, number = fresh(docs, "mix_row"), fresh(docs, "mix_rows")
-    same = [docs["doc_id"].cast("long"), F.coalesce(docs["source"].cast("string"), F.lit("")), F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))]
-    w = W.partitionBy(*[F.col(names[c]) for c in ("doc_id", "source", "text_md5")])
-    keyed = docs.join(times, same[0].eqNullSafe(F.col(names["doc_id"])) & (same[1] == F.col(names["source"])) & (same[2] == F.col(names["text_md5"])))
-    ranked = keyed.withColumn(again, F.row_number().over(w.orderBy("doc_id"))).withColumn(number, F.count("*").over(w))
-    share = F.expr(f"`{names['uses']}` div `{number}` + CASE WHEN `{again}` <= `{names['uses']}` % `{number}` THEN 1 ELSE 0 END")
-    return ranked.withColumn(number, F.explode(F.expr(f"CASE WHEN {_text(names['uses'], number, again)} > 0 THEN sequence(1L, {_text(names['uses'], number, again)}) ELSE array() END"))).select([docs[c] for c in docs.columns]) if share is not None else docs
-
+    """Rows of ``docs``, all columns as they are, as often as the mix uses them.
 
-def _text(uses: str, rows: str, row: str) -> str:
-    return f"(`{uses}` div `{rows}` + CASE WHEN `{row}` <= `{uses}` % `{rows}` THEN 1 ELSE 0 END)"
+    What a partial pass takes of a source ends at one place of its order, so that two keys
+    a source tell for each row whether it is taken, and texts are not exchanged.
+    """
+    rows, table, few = _planned(docs, entropy, max_epochs, budget, block)
+    ends = _partial(_placed(rows, table)).groupBy("source").agg(F.max(F.struct("block_key", "row_key")).alias("end"))
+    limits = durable(table.join(ends, "source", "left").select("source", "whole", "part", "blocks", F.col("end.block_key").alias("end_block"), F.col("end.row_key").alias("end_row")))
+    own = fresh(docs, "mix_row")
+    packed = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
+        F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_md5"),
+        F.struct(*[docs[c] for c in docs.columns]).alias(own),
+    )
+    keyed = _placed(packed, F.broadcast(limits) if few else limits)
+    taken = (F.col("block_key") < F.col("end_block")) | ((F.col("block_key") == F.col("end_block")) & (F.col("row_key") <= F.col("end_row")))
+    uses = F.col("whole") + F.when(taken, 1).otherwise(0)
+    return keyed.withColumn("uses", uses).filter("uses > 0").withColumn("use", F.explode(F.expr("sequence(1L, uses)"))).select(f"{own}.*")
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +194,7 @@ def sql(entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, block: int = B
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source, md5(coalesce(text, '')) AS text_md5,
     len(list_filter(string_split_regex(coalesce(text, ''), '[\\t\\n\\x0b\\f\\r ]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
-s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS n, (-((-count(*)) // {block})) AS up FROM d GROUP BY source),
+s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS n FROM d GROUP BY source),
 p AS (SELECT source, tokens::DOUBLE / sum(tokens) OVER () AS share FROM s),
 -- both bisections at once: [lo1, hi1] for the entropy, [lo2, hi2] for the limit
 b AS (
@@ -195,9 +217,10 @@ t AS (SELECT source, own // tokens AS whole, own % tokens AS part, greatest(1, (
 x AS (SELECT d.*, whole, part, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || text_md5), 1, 12))::BIGINT % blocks AS block FROM d JOIN t USING (source)),
 k AS (SELECT source, block, sum(n_tokens) AS size, any_value(whole) AS pass FROM x WHERE part > 0 GROUP BY source, block),
 z AS (SELECT source, block, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(source || ':' || pass || ':' || block) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM k),
-l AS (
-  SELECT x.*, (begin + coalesce(sum(n_tokens) OVER (PARTITION BY source, block ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || text_md5 || ':' || whole), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start
-  FROM x JOIN z USING (source, block) WHERE part > 0)
+o AS (
+  SELECT x.*, md5(coalesce(doc_id::VARCHAR, '') || ':' || text_md5 || ':' || whole) AS row_key, (begin + coalesce(sum(n_tokens) OVER (PARTITION BY source, block ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || text_md5 || ':' || whole) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS place
+  FROM x JOIN z USING (source, block) WHERE part > 0),
+l AS (SELECT *, min(place) OVER (PARTITION BY source, block, row_key) AS start FROM o)
 SELECT doc_id, source, text_md5, n_tokens, pass, block, 0::BIGINT AS start FROM (SELECT *, unnest(range(0, whole)) AS pass FROM x)
 UNION ALL
 SELECT doc_id, source, text_md5, n_tokens, whole AS pass, block, start FROM l WHERE start < part

@@ -36,42 +36,6 @@ GROUP = 10_000
 ITEMS = "array<struct<doc_id:bigint,first_token:bigint,n_tokens:bigint>>"
 
 
-def fullest(lengths: list[int], left: dict[int, int], room: int) -> list[int]:
-    """The multiset of available lengths with the largest sum up to ``room``.
-
-    lengths: in falling order; left: how many there are of each.
-    """
-    reach = 1
-    every = (1 << (room + 1)) - 1
-    steps: list[tuple[int, int]] = []  # length, what was reachable before it
-    for size in lengths:
-        if size > room:
-            continue
-        copies, times = left[size], 1
-        while copies > 0 and size * times <= room:
-            use = min(times, copies)
-            steps.append((size * use, reach))
-            reach = (reach | reach << (size * use)) & every
-            copies -= use
-            times *= 2
-            if reach >> room & 1:
-                break
-        if reach >> room & 1:
-            break
-    at = reach.bit_length() - 1
-    out: dict[int, int] = {}
-    for weight, before in reversed(steps):
-        if not before >> at & 1:
-            out[weight] = out.get(weight, 0) + 1
-            at -= weight
-    # weights are multiples of lengths: name the lengths again
-    return _lengths(steps, out, lengths, room)
-
-
-def _lengths(steps, chosen: dict[int, int], lengths: list[int], room: int) -> list[int]:
-    return [w for w, n in chosen.items() for _ in range(n)]
-
-
 def pack_lengths(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Indices of the pieces in each bin; sizes are between 1 and ``capacity``, in falling order."""
     at: dict[int, list[int]] = {}
@@ -120,9 +84,10 @@ def _best(lengths: list[int], at: dict[int, list[int]], room: int) -> list[int]:
 
 def _pack(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if batches else None
-        if table is None or not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         group = table.column("grp").to_numpy()
         null = np.asarray(table.column("doc_id").combine_chunks().is_null())
         ids = table.column("doc_id").fill_null(0).to_numpy()
@@ -132,7 +97,7 @@ def _pack(capacity: int):
         edge = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64())]))
         for a, b in zip(edge[:-1], edge[1:], strict=True):
-            number, rows, totals = 0, [], []
+            rows, totals = [], []
             own = [None if x else i for i, x in zip(ids[a:b].tolist(), null[a:b].tolist(), strict=True)]
             size = tokens[a:b]
             whole, rest = size // capacity, size % capacity
