@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 SPACE = r"[\t-\r\x{85}\p{Z}]"
 COUNTERS = ["double_spaces", "ocr_ligatures", "smart_quotes", "encoding", "punctuation", "unicode"]
-LIGATURES = dict(zip("ﬀﬁﬂﬃﬄ", ["ff", "fi", "fl", "ffi", "ffl"], strict=True))
-QUOTES = {"“": '"', "”": '"', "‘": "'", "’": "'", "‚": ",", "–": "-", "—": "--", "…": "...", " ": " "}
+LIGATURES = dict(zip("\ufb00\ufb01\ufb02\ufb03\ufb04", ["ff", "fi", "fl", "ffi", "ffl"], strict=True))
+QUOTES = {"\u201c": '"', "\u201d": '"', "\u2018": "'", "\u2019": "'", "\u201a": ",", "\u2013": "-", "\u2014": "--", "\u2026": "...", "\u00a0": " "}
 #: Letters that a Latin-1 reading of UTF-8 turns into two characters.
 MISREAD = "éèëàüñçöä£»«°"
 PAIRS = {c.encode().decode("latin-1"): c for c in MISREAD}
@@ -88,7 +88,7 @@ def clean(df: DataFrame, column: str = "text", ocr: bool = True, quotes: bool =
 
 
 #: Defects put into clean text, to give the repair something to do; literal replacements in order.
-DEFECTS = [(", ", " ,, "), (". ", ".....  "), (".\n", ".A"), (" the ", " ﬁ“the” ; "), (" de ", " de!?!?! "), ("é", "Ã©"), ("an", "án"), (" in ", "—in… ")]
+DEFECTS = [(", ", " ,, "), (". ", ".....  "), (".\n", ".A"), (" the ", " \ufb01\u201cthe\u201d\u00a0; "), (" de ", " de!?!?! "), ("\u00e9", "\u00c3\u00a9"), ("an", "a\u0301n"), (" in ", "\u2014in\u2026 ")]
 
 
 def spoil(text: Column) -> Column:
