@@ -14,7 +14,12 @@ varied).  A document is kept if its quality is at least one half and its
 toxicity below one half.
 
 The patterns are counted over all documents.  The scorer is fitted on at most
-``fit_documents`` of them, drawn by hash; no label table is read.
+``fit_documents`` of them, drawn by hash.
+
+The list of insults is nearly all English.  Where a table of labels is given, at most ``SAMPLE`` of
+its rows, drawn by hash of doc_id, show which beginnings of words stand in many more toxic
+texts than others, whatever their language; a labeller votes by these, and the
+list then only speaks up where it finds a word.  Nothing else is learned from labels.
 
 A null or blank text has no features and no votes: it scores 0 and is not kept
 by the filter.  Every row gives one row; repeated and null doc_ids are allowed.
@@ -26,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +42,10 @@ FIT_DOCUMENTS = 20_000
 #: Slots of the hashed features.
 SLOTS = 1 << 17
 ROUNDS = 150
+#: Labelled documents from which beginnings of toxic words are learned, at most.
+SAMPLE = 4_000
+#: Bytes of a beginning; toxic texts that must have it, at least; and how many times as common it must be in them.
+BEGINNINGS, HOLDERS, TIMES = (4, 5, 6, 7, 8), 5, 20
 #: Prior share of false alarms of a labeller, and of bad documents.
 ALARMS, SHARE = 0.004, 0.1
 
@@ -53,7 +63,8 @@ INSULTS = (
     "dumm dummkopf abschaum wertlos ekelhaft vollidiot trottel"
 ).split()
 QUALITY = ["symbols", "shouting", "separators", "stutter", "stopwords", "sentences", "word_length", "lines"]
-TOXIC = ["any_insult", "insults", "density", "kinds"]
+TOXIC = ["any_insult", "insults", "density", "kinds", "learned"]
+NONE = np.zeros(0, np.uint64)
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -88,7 +99,7 @@ _EDGE[[ord(c) for c in ".,;:!?\"'()[]#$%&*|-"]] = True
 class Texts:
     """What labellers and features need of many texts, computed once."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, parts: np.ndarray = NONE):
         w = self.words = Words(data, off, hashed=False)
         self.docs, self.data, self.off = len(off) - 1, data, off
         # words less punctuation at either end; words of punctuation stay whole
@@ -99,6 +110,27 @@ class Texts:
         self.core = spans_hash(data, a, b, fold=True)
         self.n = np.diff(w.first)
         self.bytes = np.diff(off)
+        self.begin, self.end, self.parts = a, b, parts
+        self.learned = np.zeros(self.docs, np.int64)
+        if len(parts):
+            flag = np.zeros(len(a), bool)
+            for at, h in self.beginnings():
+                flag[at] |= _among(h, parts)
+            self.learned = self.words_with(flag)
+
+    def beginnings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words of each length in ``BEGINNINGS`` or more, and hashes of their first bytes."""
+        for k in BEGINNINGS:
+            at = np.flatnonzero(self.end - self.begin >= k)
+            yield at, spans_hash(self.data, self.begin[at], self.begin[at] + k, fold=True)
+
+    def learned_vote(self) -> np.ndarray:
+        """Bad from two words with a toxic beginning, or one in 250; no opinion without learned ones."""
+        if not len(self.parts):
+            return np.zeros(self.docs, np.int64)
+        share = self.learned / np.maximum(1, self.n)
+        bad = ((self.learned > 1) & (share > 0.002)) | (share > 0.004)
+        return np.where(self.n == 0, 0, np.where(bad, 2, np.where(self.learned == 0, 1, 0)))
 
     def per_doc(self, flag: np.ndarray) -> np.ndarray:
         """How many bytes of each text have the flag."""
@@ -176,6 +208,9 @@ def votes(t: Texts) -> tuple[np.ndarray, np.ndarray]:
             _vote(insults / n, lambda v: v < 0.001, lambda v: v > 0.008, some),
             np.where(~some, 0, np.where(insult_kinds > 1, 2, np.where(insult_kinds == 0, 1, 0))),
         ]
+        if len(t.parts):
+            x = [np.where(v == 2, 2, 0) for v in x]
+        x.append(t.learned_vote())
     return sum(v * 3**i for i, v in enumerate(q)), sum(v * 3**i for i, v in enumerate(x))
 
 
@@ -242,10 +277,15 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         d = np.searchsorted(t.off, np.arange(len(data) - 2), side="right") - 1
         inside = np.arange(len(data) - 2) + 3 <= t.off[d + 1]
         x = data[:-2].astype(np.int64) | data[1:-1].astype(np.int64) << 8 | data[2:].astype(np.int64) << 16
-        x = ((x * 0x9E3779B1) >> 7 & 0xFFFFFF) % third + 3 * third
+        x = ((x * 0x9E3779B1) >> 7 & 0xFFFFFF) % (third - 1) + 3 * third
         doc.append(d[inside])
         slot.append(x[inside])
         value.append(6.0 / np.maximum(1, t.bytes)[d[inside]])
+    # the last slot: whether learned beginnings speak against the text
+    at = np.flatnonzero(t.learned_vote() == 2)
+    doc.append(at)
+    slot.append(np.full(len(at), SLOTS - 1))
+    value.append(np.full(len(at), 3.0))
     return np.concatenate(doc), np.concatenate(slot), np.concatenate(value)
 
 
@@ -278,19 +318,71 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ro
     return weights
 
 
-def _patterns(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[pa.RecordBatch]:
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's toxic and other texts have each beginning of a word; part null: all texts."""
+    toxic, other = [NONE], [NONE]
+    total = [0, 0]
+    for batch in pieces(batches):
+        t = Texts(*buffers(batch.column("text")))
+        flag = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
+        total[0] += int(flag.sum())
+        total[1] += int((~flag).sum())
+        at, h = (np.concatenate(x) for x in zip(*t.beginnings(), strict=True))
+        doc = t.words.doc[at]
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+        doc, h = doc[new], h[new]
+        toxic.append(h[flag[doc]])
+        other.append(h[~flag[doc]])
+    kinds, at = np.unique(np.concatenate(toxic + other), return_inverse=True)
+    n = sum(len(x) for x in toxic)
+    counts = [np.bincount(x, minlength=len(kinds)) for x in (at[:n], at[n:])]
+    yield pa.record_batch([pa.array([None, *kinds.view(np.int64).tolist()], pa.int64()), *[pa.array(np.r_[total[k], counts[k]].astype(np.int64)) for k in range(2)]], names=["part", "toxic", "other"])
+
+
+def toxic_parts(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> np.ndarray:
+    """Hashes of beginnings of words that stand in toxic texts, from at most ``sample`` rows of ``labels``."""
+    if labels is None:
+        return NONE
+    drawn = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    texts = id_text(docs).filter("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("text", "toxic").dropDuplicates()
+    found = texts.mapInArrow(_holders, "part long, toxic long, other long").groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter(f"part IS NULL OR toxic >= {HOLDERS}").toArrow()
+    part = found.column("part").combine_chunks()
+    toxic, other = (found.column(c).to_numpy().astype(float) for c in ("toxic", "other"))
+    whole = np.asarray(part.is_null())
+    if not whole.any() or not toxic[whole].sum():
+        return NONE
+    often = (toxic / toxic[whole].sum()) > TIMES * (other + 1) / max(1.0, other[whole].sum())
+    keep = ~whole & often & (toxic >= max(HOLDERS, toxic[whole].sum() / 50))
+    return np.sort(part.fill_null(0).to_numpy()[keep].view(np.uint64))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The table of labels, None if there is none."""
+    try:
+        return spark.read.parquet(f"{sf_dir}/labels.parquet")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _patterns(batches: Iterator[pa.RecordBatch], cut: int, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Counts of vote patterns of a task's documents, and features of those drawn for fitting."""
     counts: dict[tuple[int, int], int] = {}
     for batch in pieces(batches):
         data, off = buffers(batch.column(1))
-        t = Texts(data, off)
+        t = Texts(data, off, parts)
         q, x = votes(t)
         pairs, n = np.unique(np.stack([q, x], axis=1), axis=0, return_counts=True)
         for (a, b), c in zip(pairs.tolist(), n.tolist(), strict=True):
             counts[a, b] = counts.get((a, b), 0) + c
         drawn = np.flatnonzero((mix(text_prints(data, off)) >> U(32) < U(cut)) & (t.n > 0))
         if len(drawn):
-            part = Texts(*buffers(batch.column(1).take(pa.array(drawn))))
+            part = Texts(*buffers(batch.column(1).take(pa.array(drawn))), parts)
             doc, slot, value = features(part)
             key, at = np.unique(doc * SLOTS + slot, return_inverse=True)
             total = np.bincount(at, weights=value)
@@ -312,12 +404,12 @@ def _posterior(q: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[dict[int, f
     return out[0], out[1]
 
 
-def model(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> np.ndarray:
+def model(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, parts: np.ndarray = NONE) -> np.ndarray:
     """Weights of the scorer, trained on all patterns and at most ``fit_documents`` documents."""
     rows = id_text(docs)
     total = max(1, rows.count())
     cut = min(1 << 32, int((1 << 32) * fit_documents / total))
-    found = rows.mapInArrow(lambda it: _patterns(it, cut), "q long, x long, n long, features binary")
+    found = rows.mapInArrow(lambda it: _patterns(it, cut, parts), "q long, x long, n long, features binary")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, x, n, own_q, own_x, sparse = [], [], [], [], [], []
@@ -351,31 +443,33 @@ def score(t: Texts, weights: np.ndarray) -> np.ndarray:
     return p
 
 
-def quality(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def quality(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, quality, toxicity, keep), a row for each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model(docs, fit_documents))
+    parts = toxic_parts(docs, labels, sample)
+    sent = docs.sparkSession.sparkContext.broadcast(model(docs, fit_documents, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            p = np.round(score(Texts(*buffers(batch.column(1))), sent.value), 6)
+            p = np.round(score(Texts(*buffers(batch.column(1)), parts), sent.value), 6)
             yield pa.record_batch([batch.column(0), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p[:, 0] >= 0.5) & (p[:, 1] < 0.5))], names=["doc_id", "quality", "toxicity", "keep"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, quality double, toxicity double, keep boolean")
 
 
-def accepted(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def accepted(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, all columns as they are."""
-    sent = docs.sparkSession.sparkContext.broadcast(model(docs, fit_documents))
+    parts = toxic_parts(docs, labels, sample)
+    sent = docs.sparkSession.sparkContext.broadcast(model(docs, fit_documents, parts))
     where = docs.columns.index("text")
     name = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, column=name):
-            p = score(Texts(*buffers(batch.column(where))), sent.value)
+            p = score(Texts(*buffers(batch.column(where)), parts), sent.value)
             yield batch.filter(pa.array((p[:, 0] >= 0.5) & (p[:, 1] < 0.5)))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir))
+    return quality(documents(spark, sf_dir), labels=labelled(spark, sf_dir))

@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from foliant.llm import jaccard
+from foliant.llm import jaccard, quality
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -28,3 +28,28 @@ def test_edited_copies_are_near(spark, tmp_path):
     documents = df.toArrow()  # noqa: F841
     assert got == {(a, b) for a, b, _ in duckdb.sql(jaccard.SQL).fetchall()}
     assert {x.doc_id for x in jaccard.keep_one_of_each(df).collect()} == {10 * k for k in range(12)}
+
+
+def test_toxicity_without_list_words(spark, tmp_path):
+    """Toxic words of three made-up languages, none of them listed; half of the rows have no label."""
+    r = random.Random(9)
+    stop = "the of and to in a is that for on with as was".split()
+    start = ["zormel", "quätsch", "brivoni"]
+    rows, labels = [], []
+    for k in range(900):
+        ws = [r.choice(stop) if r.random() < 0.3 else f"word{r.randrange(300)}" for _ in range(80)]
+        toxic = k % 9 < 3
+        if toxic:
+            for at in r.sample(range(80), 4):
+                ws[at] = start[k % 3] + r.choice("aeiou") + str(r.randrange(50))
+        rows.append((k, " ".join(w + ("." if j % 9 == 8 else "") for j, w in enumerate(ws)), "en", "s", 1))
+        if k % 2:
+            labels.append((k, 1, int(toxic)))
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {x.doc_id: x.keep for x in quality.op8_quality_classifier(spark, str(tmp_path)).collect()}
+    for n in range(3):
+        held_out = [k for k in range(0, 900, 2) if k % 9 == n]
+        assert sum(not kept[k] for k in held_out) > 0.9 * len(held_out)
+    clean = [k for k in range(0, 900, 2) if k % 9 >= 3]
+    assert sum(kept[k] for k in clean) > 0.97 * len(clean)
