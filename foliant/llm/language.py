@@ -43,7 +43,8 @@ LANGUAGES = 64
 VOTE = 1.0
 
 _CUT = re.compile(r"<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?</\1\s*>|<[^>]*>|&[#\w]+;", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+#: The first outside comments and scripts counts, wherever it stands.
+_DECLARED = re.compile(r"<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", re.S | re.I)
 
 
 def trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +104,7 @@ def _evidence(names: list[str], weights):
         table = weights.value
         for batch in pieces(batches, column="html"):
             html = batch.column("html").to_pylist()
-            found = [_DECLARED.search(h[:4096]) if h else None for h in html]
-            declared = [m.group(1).lower() if m else "" for m in found]
+            declared = [next((m[1].lower() for m in _DECLARED.finditer(h or "") if m[1]), "") for h in html]
             text = pa.array([_CUT.sub(" ", h) if h else "" for h in html], pa.large_string())
             doc, slot = trigrams(*buffers(text))
             n = len(html)

@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from foliant.llm import jaccard, quality
+from foliant.llm import jaccard, language, quality
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,3 +53,11 @@ def test_toxicity_without_list_words(spark, tmp_path):
         assert sum(not kept[k] for k in held_out) > 0.9 * len(held_out)
     clean = [k for k in range(0, 900, 2) if k % 9 >= 3]
     assert sum(kept[k] for k in clean) > 0.97 * len(clean)
+
+
+def test_declaration_after_a_long_preamble(spark):
+    docs = spark.createDataFrame([(1, "der und nicht", "de", "s", 1), (2, "the of and", "en", "s", 1)], COLUMNS)
+    long = "x" * 5_000
+    pages = [f"<!-- {long} <html lang='en'> --><html lang='de'><p>und</p>", f"<script>{long} <html lang='en'></script><html lang=de>", " " * 5_000 + "<html lang=de>", f"<html class='{long}' lang='de'>"]
+    df = spark.createDataFrame([(k, "http://a.example/", h) for k, h in enumerate(pages)], "page_id long, url string, html string")
+    assert [x.declared for x in language.identify(df, docs).collect()] == ["de"] * 4
