@@ -37,8 +37,6 @@ SLOTS = 1 << 15
 TEMPER = 0.2
 #: Pages that a parent's distribution counts for in that of its child.
 SMOOTHING = 5.0
-#: Languages that can be told apart; documents with others are left out, the commonest stay.
-LANGUAGES = 64
 #: Weight of one vote spread over all values, in the tables of declarations and suffixes.
 VOTE = 1.0
 
@@ -67,16 +65,12 @@ _FOLD[128:] = np.arange(128, 256)
 
 def _counts(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), SLOTS), np.int64)
         number = {n: k for k, n in enumerate(names)}
         for batch in pieces(batches):
-            lang = np.array([number.get(v, -1) for v in batch.column("lang").to_pylist()])
+            lang = np.array([number[v] for v in batch.column("lang").to_pylist()], np.int64)
             doc, slot = trigrams(*buffers(batch.column("text")))
-            own = lang[doc]
-            keep = own >= 0
-            total += np.bincount(own[keep] * SLOTS + slot[keep], minlength=total.size).reshape(total.shape)
-        at = np.flatnonzero(total.ravel())
-        yield pa.record_batch([pa.array(at // SLOTS), pa.array(at % SLOTS), pa.array(total.ravel()[at])], names=["language", "slot", "n"])
+            at, n = np.unique(lang[doc] * SLOTS + slot, return_counts=True)
+            yield pa.record_batch([pa.array(at // SLOTS), pa.array(at % SLOTS), pa.array(n)], names=["language", "slot", "n"])
 
     return run
 
@@ -84,8 +78,7 @@ def _counts(names: list[str]):
 def model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities of the slots in each: counts over all documents with a language."""
     labelled = docs.select(F.col("text").cast("string").alias("text"), F.lower(F.trim(F.col("lang").cast("string"))).alias("lang")).filter("lang <> '' AND text IS NOT NULL")
-    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r.lang for r in known)
+    names = sorted(r.lang for r in labelled.select("lang").distinct().collect())
     if not names:
         return [], np.zeros((0, SLOTS))
     found = labelled.mapInArrow(_counts(names), "language long, slot long, n long").groupBy("language", "slot").agg(F.sum("n").alias("n")).toArrow()

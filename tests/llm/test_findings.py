@@ -61,3 +61,12 @@ def test_declaration_after_a_long_preamble(spark):
     pages = [f"<!-- {long} <html lang='en'> --><html lang='de'><p>und</p>", f"<script>{long} <html lang='en'></script><html lang=de>", " " * 5_000 + "<html lang=de>", f"<html class='{long}' lang='de'>"]
     df = spark.createDataFrame([(k, "http://a.example/", h) for k, h in enumerate(pages)], "page_id long, url string, html string")
     assert [x.declared for x in language.identify(df, docs).collect()] == ["de"] * 4
+
+
+def test_more_than_64_languages(spark):
+    names = [f"l{k:02}" for k in range(70)]
+    say = {n: " ".join(chr(97 + k % 26) * 2 + chr(97 + k // 26) + c for c in "aeiou") for k, n in enumerate(names)}
+    docs = spark.createDataFrame([(k, say[n] * 3, n, "s", 1) for k, n in enumerate(names)], COLUMNS)
+    assert language.model(docs)[0] == names
+    df = spark.createDataFrame([(k, f"http://{n}.example.{n}/", f"<html><p>{say[n] * 3}</p>") for k, n in enumerate(names)], "page_id long, url string, html string")
+    assert {x.page_id: x.language for x in language.identify(df, docs).collect()} == dict(enumerate(names))
