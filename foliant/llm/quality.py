@@ -14,7 +14,8 @@ varied).  A document is kept if its quality is at least one half and its
 toxicity below one half.
 
 The patterns are counted over all documents.  The scorer is fitted on at most
-``fit_documents`` of them, drawn by hash.
+``fit_documents`` of them with ``fit_entries`` features in all, drawn by a hash in which
+copies differ, so that no group of copies is drawn as a whole.
 
 The list of insults is nearly all English.  Where a table of labels is given, at most ``SAMPLE`` of
 its rows, drawn by hash of doc_id, show which beginnings of words stand in many more toxic
@@ -35,13 +36,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.core import U, Words, binary, buffers, documents, id_text, mix, pack, partitions, pieces, spans_hash, text_prints, unpack
+from foliant.llm.core import U, Words, binary, buffers, documents, id_text, mix, pack, pieces, release, spans_hash, text_prints, unpack
 
 #: Documents on which the scorer is fitted, at most.
 FIT_DOCUMENTS = 20_000
 #: Slots of the hashed features.
 SLOTS = 1 << 17
-ROUNDS = 150
+#: Entries of features (8 bytes each) on which the scorer is fitted, at most: very long documents may reach it before ``FIT_DOCUMENTS``.
+FIT_ENTRIES = 16 << 20
+#: Passes over them, rows of a mini-batch, and the first step size.
+EPOCHS, ROWS, RATE = 8, 256, 0.05
 #: Labelled documents from which beginnings of toxic words are learned, at most.
 SAMPLE = 4_000
 #: Bytes of a beginning; toxic texts that must have it, at least; and how many times as common it must be in them.
@@ -289,32 +293,40 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(doc), np.concatenate(slot), np.concatenate(value)
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (slots + 1, heads) of logistic regressions on sparse rows; labels: (rows, heads) posteriors."""
-    heads = labels.shape[1]
-    weights = np.zeros((SLOTS + 1, heads))
-    if not rows:
+def fit_scorer(edge: np.ndarray, slot: np.ndarray, value: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rows: int = ROWS) -> np.ndarray:
+    """Weights (slots + 1, heads) of logistic regressions; row k has the entries from edge[k] to edge[k + 1].
+
+    labels: (rows, heads) posteriors.  All heads are fitted in one pass over mini-batches of
+    ``rows`` rows, in the order given, so that only a batch is ever blown up.
+    """
+    n, heads = labels.shape
+    weights = np.zeros((SLOTS + 1, heads), np.float32)
+    if not n:
         return weights
-    slot = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    value = np.concatenate([r[1] for r in rows]).astype(np.float64)
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    for h in range(heads):
-        w, b = np.zeros(SLOTS), 0.0
-        m, v = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
-        y = labels[:, h]
-        positive = max(1e-3, min(0.999, float(y.mean())))
-        balance = y / positive + (1 - y) / (1 - positive)
-        balance = np.minimum(balance, 20) / np.minimum(balance, 20).mean()
-        for step in range(1, rounds + 1):
-            z = np.bincount(owner, weights=w[slot] * value, minlength=len(rows)) + b
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance / len(rows)
-            g = np.r_[np.bincount(slot, weights=error[owner] * value, minlength=SLOTS) + 1e-6 * w, error.sum()]
-            m = 0.9 * m + 0.1 * g
-            v = 0.999 * v + 0.001 * g * g
-            change = 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            w -= change[:-1]
-            b -= float(change[-1])
-        weights[:SLOTS, h], weights[SLOTS, h] = w, b
+    positive = np.clip(labels.mean(axis=0), 1e-3, 0.999)
+    balance = np.minimum(labels / positive + (1 - labels) / (1 - positive), 20)
+    balance /= balance.mean(axis=0)
+    m, v = np.zeros_like(weights), np.zeros_like(weights)
+    steps, step = epochs * -(-n // rows), 0
+    for _ in range(epochs):
+        for a in range(0, n, rows):
+            b = min(n, a + rows)
+            lo, hi = int(edge[a]), int(edge[b])
+            at, x = slot[lo:hi], value[lo:hi]
+            length = np.diff(edge[a : b + 1])
+            owner = np.repeat(np.arange(b - a), length)
+            z = np.stack([np.bincount(owner, weights=weights[at, h] * x, minlength=b - a) for h in range(heads)], axis=1) + weights[SLOTS]
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[a:b]) * balance[a:b] / (b - a)
+            g = np.empty_like(weights)
+            for h in range(heads):
+                g[:SLOTS, h] = np.bincount(at, weights=error[owner, h] * x, minlength=SLOTS)
+            g[SLOTS] = error.sum(axis=0)
+            g[:SLOTS] += 1e-6 * weights[:SLOTS]
+            step += 1
+            m += 0.1 * (g - m)
+            v += 0.005 * (g * g - v)
+            rate = RATE * (1 - (step - 1) / steps)
+            weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.995**step)) + 1e-8)
     return weights
 
 
@@ -370,9 +382,23 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame | None:
         return None
 
 
+def draws(ids: pa.Array, prints: np.ndarray, before: int) -> np.ndarray:
+    """A hash of each row, by which documents are drawn; copies, also within a doc_id, are drawn apart from each other."""
+    known = np.asarray(ids.is_valid())
+    own = mix(prints ^ mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) + U(1)))
+    order = np.argsort(own, kind="stable")
+    begin = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
+    nth = np.empty(len(own), np.int64)
+    nth[order] = np.arange(len(own)) - np.repeat(begin, np.diff(np.r_[begin, len(own)]))
+    nth[~known] += before
+    with np.errstate(over="ignore"):
+        return mix(own + nth.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+
+
 def _patterns(batches: Iterator[pa.RecordBatch], cut: int, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Counts of vote patterns of a task's documents, and features of those drawn for fitting."""
     counts: dict[tuple[int, int], int] = {}
+    before = 0
     for batch in pieces(batches):
         data, off = buffers(batch.column(1))
         t = Texts(data, off, parts)
@@ -380,7 +406,10 @@ def _patterns(batches: Iterator[pa.RecordBatch], cut: int, parts: np.ndarray) ->
         pairs, n = np.unique(np.stack([q, x], axis=1), axis=0, return_counts=True)
         for (a, b), c in zip(pairs.tolist(), n.tolist(), strict=True):
             counts[a, b] = counts.get((a, b), 0) + c
-        drawn = np.flatnonzero((mix(text_prints(data, off)) >> U(32) < U(cut)) & (t.n > 0))
+        draw = draws(batch.column(0), text_prints(data, off), before)
+        before += batch.num_rows
+        drawn = np.flatnonzero((draw >> U(32) < U(cut)) & (t.n > 0))
+        del t
         if len(drawn):
             part = Texts(*buffers(batch.column(1).take(pa.array(drawn))), parts)
             doc, slot, value = features(part)
@@ -389,10 +418,13 @@ def _patterns(batches: Iterator[pa.RecordBatch], cut: int, parts: np.ndarray) ->
             owner, slot = key // SLOTS, (key % SLOTS).astype(np.int32)
             edge = np.searchsorted(owner, np.arange(len(drawn) + 1))
             blocks = [pack(slot[edge[k] : edge[k + 1]], total[edge[k] : edge[k + 1]].astype(np.float32)) for k in range(len(drawn))]
-            yield pa.record_batch([pa.array(q[drawn]), pa.array(x[drawn]), pa.nulls(len(drawn), pa.int64()), binary(blocks)], names=["q", "x", "n", "features"])
+            yield pa.record_batch([pa.array(draw[drawn].view(np.int64)), pa.array(q[drawn]), pa.array(x[drawn]), pa.nulls(len(drawn), pa.int64()), binary(blocks)], names=PATTERNS)
     if counts:
         keys = np.array(list(counts), np.int64)
-        yield pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(counts.values()), pa.int64()), binary([None] * len(keys))], names=["q", "x", "n", "features"])
+        yield pa.record_batch([pa.nulls(len(keys), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(counts.values()), pa.int64()), binary([None] * len(keys))], names=PATTERNS)
+
+
+PATTERNS = ["draw", "q", "x", "n", "features"]
 
 
 def _posterior(q: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[dict[int, float], dict[int, float]]:
@@ -404,33 +436,46 @@ def _posterior(q: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[dict[int, f
     return out[0], out[1]
 
 
-def model(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, parts: np.ndarray = NONE) -> np.ndarray:
-    """Weights of the scorer, trained on all patterns and at most ``fit_documents`` documents."""
+def model(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, parts: np.ndarray = NONE, fit_entries: int = FIT_ENTRIES) -> np.ndarray:
+    """Weights of the scorer, trained on all patterns and at most ``fit_documents`` documents of ``fit_entries`` features in all."""
     rows = id_text(docs)
     total = max(1, rows.count())
     cut = min(1 << 32, int((1 << 32) * fit_documents / total))
-    found = rows.mapInArrow(lambda it: _patterns(it, cut, parts), "q long, x long, n long, features binary")
+    found = rows.mapInArrow(lambda it: _patterns(it, cut, parts), "draw long, q long, x long, n long, features binary")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, x, n, own_q, own_x, sparse = [], [], [], [], [], []
+        """Counts come first, then documents in order of their draw, which no task's order decides."""
+        q, x, n, own_q, own_x, slots, values, size, entries = [], [], [], [], [], [], [], [], 0
         for batch in batches:
-            for a, b, c, f in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if f is None:
-                    q.append(a)
-                    x.append(b)
-                    n.append(c)
-                else:
-                    own_q.append(a)
-                    own_x.append(b)
-                    slot, value = unpack(f, np.int32, np.float32)
-                    sparse.append((slot, value))
+            a, b, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            for k, f in enumerate(batch.column(4)):
+                if not f.is_valid:
+                    q.append(a[k])
+                    x.append(b[k])
+                    n.append(c[k])
+                elif len(size) < fit_documents and entries < fit_entries:
+                    slot, value = unpack(f.as_buffer(), np.int32, np.float32)
+                    if entries + len(slot) > fit_entries:
+                        entries = fit_entries
+                        continue
+                    own_q.append(a[k])
+                    own_x.append(b[k])
+                    slots.append(slot.copy())
+                    values.append(value.copy())
+                    size.append(len(slot))
+                    entries += len(slot)
         bad, toxic = _posterior(np.array(q, np.int64), np.array(x, np.int64), np.array(n, np.float64))
-        # in an order that does not depend on which task came first
-        order = sorted(range(len(sparse)), key=lambda k: (own_q[k], own_x[k], sparse[k][0].tobytes(), sparse[k][1].tobytes()))[: 2 * fit_documents]
-        labels = np.array([[1 - bad[own_q[k]], toxic[own_x[k]]] for k in order]).reshape(len(order), 2)
-        yield pa.record_batch([binary([fit_scorer([sparse[k] for k in order], labels).astype(np.float32).tobytes()])], names=["weights"])
-
-    out = found.repartitionById(1, F.lit(0)).mapInArrow(train, "weights binary").collect()
+        labels = np.array([[1 - bad[i], toxic[j]] for i, j in zip(own_q, own_x, strict=True)]).reshape(len(size), 2)
+        slot = np.concatenate([np.zeros(0, np.int32), *slots])
+        del slots
+        value = np.concatenate([np.zeros(0, np.float32), *values])
+        del values
+        weights = fit_scorer(np.r_[0, np.cumsum(size)].astype(np.int64), slot, value, labels)
+        del slot, value
+        release()
+        yield pa.record_batch([binary([weights.tobytes()])], names=["weights"])
+
+    out = found.repartitionById(1, F.lit(0)).sortWithinPartitions("draw").mapInArrow(train, "weights binary").collect()
     return np.frombuffer(out[0].weights, np.float32).reshape(SLOTS + 1, 2) if out else np.zeros((SLOTS + 1, 2), np.float32)
 
 
