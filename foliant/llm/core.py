@@ -24,6 +24,10 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 CHUNK = 1 << 20
 
 
+#: Most bits of the Bloom filters that are sent to tasks, 32 MB.  With more ids they let more rows through to the join, which selects.
+BLOOM_BITS = 1 << 28
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = np.asarray(x, dtype=np.uint64)
@@ -219,3 +223,58 @@ def unpack(block, *dtypes) -> list[np.ndarray]:
 
 def binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
+
+
+def _bloom_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = mix(np.ascontiguousarray(ids).view(np.uint64))
+    return [(h >> U(11 * k)) & U((1 << bits) - 1) for k in range(4)]
+
+
+class Bloom:
+    """A Bloom filter of doc_ids, sent to every task; of ``limit`` bits at most, however many ids there are."""
+
+    def __init__(self, ids: DataFrame, limit: int = BLOOM_BITS):
+        """ids: (doc_id), distinct and not null."""
+        from pyspark.sql import functions as F
+
+        spark = ids.sparkSession
+        self.bits = bits = max(10, min(limit.bit_length() - 1, (16 * max(1, ids.count()) - 1).bit_length()))
+        slices = min(64, 1 << (bits - 10))
+        width = (1 << bits) // slices
+
+        def places(batches):
+            for batch in batches:
+                at = np.concatenate(_bloom_places(batch.column(0).to_numpy(zero_copy_only=False), bits)).astype(np.int64)
+                order, present, begin = Packer.split(at // width, slices)
+                yield pa.record_batch([pa.array(present, pa.int32()), binary([pack((at[order[begin[k] : begin[k + 1]]] % width).astype(np.uint32)) for k in range(len(present))])], names=["slice", "block"])
+
+        def build(batches):
+            table, which = np.zeros(width, bool), None
+            for batch in batches:
+                for k, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    which = k
+                    table[unpack(block.as_buffer(), np.uint32)[0]] = True
+            if which is not None:
+                yield pa.record_batch([pa.array([which], pa.int32()), binary([np.packbits(table, bitorder="little").tobytes()])], names=["slice", "block"])
+
+        table = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+        made = ids.select("doc_id").mapInArrow(places, "slice int, block binary").repartitionById(slices, F.col("slice")).mapInArrow(build, "slice int, block binary").toArrow()
+        for k, block in zip(made.column(0).to_pylist(), made.column(1), strict=True):
+            table[k * width // 8 : (k + 1) * width // 8] = np.frombuffer(block.as_buffer(), np.uint8)
+        self.sent = spark.sparkContext.broadcast(table.tobytes())
+
+    def rows(self, docs: DataFrame, inside: bool = True) -> DataFrame:
+        """Rows of ``docs`` whose doc_id may be among the ids; or those, with null ones, whose doc_id surely isn't."""
+        where, sent, bits = docs.columns.index("doc_id"), self.sent, self.bits
+
+        def keep(batches):
+            bloom = np.frombuffer(sent.value, np.uint8)
+            for batch in batches:
+                ids = batch.column(where).cast(pa.int64())
+                hit = np.asarray(ids.is_valid()).copy()
+                for at in _bloom_places(ids.fill_null(0).to_numpy(zero_copy_only=False), bits):
+                    hit &= (bloom[at >> U(3)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)
+                yield batch.filter(pa.array(hit if inside else ~hit))
+            release()
+
+        return docs.mapInArrow(keep, docs.schema)

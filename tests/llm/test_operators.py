@@ -163,7 +163,12 @@ def test_jaccard(spark, docs, empty):
     for v in sets.values():
         want |= {(min(v), i) for i in v if i != min(v)}
     assert {(p.doc_a, p.doc_b) for p in jaccard.jaccard_join(df).collect()} == want
-    assert jaccard.jaccard_join(empty).count() == 0
+    assert jaccard.jaccard_join(empty).count() == 0 and jaccard.classes(empty).count() == 0
+    import duckdb
+
+    documents = df.toArrow()  # noqa: F841
+    got = sorted(map(tuple, jaccard.classes(wide(df)).collect()))
+    assert got == sorted(duckdb.sql(jaccard.SQL).fetchall()) and {x[0] for x in got} >= {16, 8, -3, 1}
     kept = jaccard.keep_one_of_each(wide(docs))
     ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
     assert kept.columns == wide(docs).columns
