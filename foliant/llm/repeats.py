@@ -11,7 +11,9 @@ have become alone.  Groups left after the last pass are exactly the windows of
 Before the sort, suffixes that cannot share their window are dropped.  Each
 window has an anchor, its word run of least hash; equal windows have equal
 anchors, so a window whose anchor is at one place only is alone.  Anchors are
-few (about one in eighteen words).  This changes cost, never the result.
+few (about one in eighteen words): they are exchanged by their value, and each document gets those of its
+own back that are at several places.  A task sends each anchor once, so one that
+every document has does not gather.  This changes cost, never the result.
 
 Within a map task only the first occurrence of a window goes to the sort (with
 the word that it occurs again), so that a passage in every document does not
@@ -31,10 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.core import (
+    Bloom,
     Packer,
     U,
     Words,
@@ -48,6 +52,7 @@ from foliant.llm.core import (
     pack,
     partitions,
     pieces,
+    release,
     text_prints,
     unpack,
     window_hash,
@@ -55,8 +60,8 @@ from foliant.llm.core import (
 
 WORDS = 50
 DIGITS = 5
-#: Anchor values that may be sent to every task (8 bytes each); beyond it all suffixes are sorted.
-ANCHORS = 4_000_000
+#: Anchors that a task gathers before it sends them.
+HELD = 2_000_000
 
 
 def _windows(w: Words, n: int) -> np.ndarray:
@@ -91,10 +96,15 @@ def anchors(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _anchor_blocks(batches: Iterator[pa.RecordBatch], n: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Anchors by value, with the document of those that the task meets once; and what it knows to be repeated."""
+    values, docs, ids, held = [], [], [], [0, 0]
     for batch in pieces(batches):
         data, off = buffers(batch.column(1))
+        valid = np.asarray(batch.column(0).is_valid())
         w = Words(data, off)
         starts, value, k = anchors(w, n)
+        stay = valid[w.doc[starts]]
+        starts, value = starts[stay], value[stay]
         if not len(starts):
             continue
         # the places where an anchor begins, once each
@@ -110,59 +120,105 @@ def _anchor_blocks(batches: Iterator[pa.RecordBatch], n: int, parts: int) -> Ite
         # within a run of equal anchors more equal places may come in at the right end
         right = starts + reach - 1
         hit[right[runs[right] == value]] = True
-        values, count = np.unique(runs[hit], return_counts=True)
-        part = (values % U(parts)).astype(np.int64)
-        order, present, edge = Packer.split(part, parts)
-        yield pa.record_batch(
-            [
-                pa.array(present, pa.int32()),
-                binary([pack(values[order[edge[i] : edge[i + 1]]], np.minimum(count[order[edge[i] : edge[i + 1]]], 2).astype(np.uint8)) for i in range(len(present))]),
-            ],
-            names=["part", "block"],
-        )
+        place = np.flatnonzero(hit)
+        values.append(runs[place])
+        docs.append(w.doc[place] + held[1])
+        ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+        held = [held[0] + len(place), held[1] + batch.num_rows]
+        if held[0] > HELD:
+            yield _anchors_sent(values, docs, ids, parts)
+            values, docs, ids, held = [], [], [], [0, 0]
+    if values:
+        yield _anchors_sent(values, docs, ids, parts)
+    release()
+
+
+def _anchors_sent(values: list[np.ndarray], docs: list[np.ndarray], ids: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    value, doc, names = np.concatenate(values), np.concatenate(docs), np.concatenate(ids)
+    order = np.argsort(value, kind="stable")
+    value, doc = value[order], doc[order]
+    begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+    count = np.diff(np.r_[begin, len(value)])
+    many = np.repeat(count > 1, count)
+    # one row for each value; the document is told where there is but one
+    lead, several = value[begin], (count > 1).astype(np.uint8)
+    owner = names[doc[begin]]
+    order, present, edge = Packer.split((lead % U(parts)).astype(np.int64), parts)
+    part, block = [int(p) for p in present], []
+    for i in range(len(present)):
+        rows = order[edge[i] : edge[i + 1]]
+        one = rows[several[rows] == 0]
+        block.append(pack(lead[rows[several[rows] == 1]], lead[one], owner[one]))
+    if many.any():
+        part.append(int(value[0] % U(parts)))
+        block.append(pack(*_by_document(names[doc[many]], value[many])))
+    return pa.record_batch([pa.array(part, pa.int32()), binary(block)], names=["part", "block"])
+
+
+def _by_document(ids: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct documents, how many anchors each has, the first 32 bits of these; and an empty column that marks the kind."""
+    short = (value >> U(32)).astype(np.uint32)
+    order = np.lexsort((short, ids))
+    ids, short = ids[order], short[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (short[1:] != short[:-1])]
+    ids, short = ids[new], short[new]
+    own, count = np.unique(ids, return_counts=True)
+    return own, count.astype(np.uint32), short, np.zeros(0, np.uint8)
+
+
+def _told(own: np.ndarray, count: np.ndarray, short: np.ndarray) -> pa.RecordBatch:
+    edge = np.r_[0, np.cumsum(count.astype(np.int64))]
+    return pa.record_batch([pa.array(own), binary([short[edge[k] : edge[k + 1]].tobytes() for k in range(len(own))])], names=["doc_id", "anchors"])
 
 
 def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    values, counts = [], []
+    """For each document the repeated ones of its anchors in this partition."""
+    many, single, owner = [], [], []
     for batch in batches:
         for block in batch.column(1):
-            v, c = unpack(block.as_buffer(), np.uint64, np.uint8)
-            values.append(v.copy())
-            counts.append(c.copy())
-    if values:
-        values, counts = np.concatenate(values), np.concatenate(counts)
-        order = np.argsort(values)
-        values = values[order]
-        begin = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-        again = values[begin[np.add.reduceat(counts[order].astype(np.int64), begin) > 1]]
-        yield pa.record_batch([pa.array(again.view(np.int64))], names=["anchor"])
-
-
-class _Set:
-    """Membership in a sorted array of hashes, through a bit table first."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = np.sort(values)
-        self.bits = max(12, (16 * max(1, len(values)) - 1).bit_length())
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[self.values >> U(64 - self.bits)] = True
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        hit = self.table[x >> U(64 - self.bits)]
-        if len(self.values):
-            at = np.flatnonzero(hit)
-            k = np.searchsorted(self.values, x[at])
-            hit[at] = self.values[np.minimum(k, len(self.values) - 1)] == x[at]
-        return hit
+            block = block.as_buffer()
+            if int(np.frombuffer(block, np.int64, 1)[0]) == 4:
+                own, count, short, _ = unpack(block, np.int64, np.uint32, np.uint32, np.uint8)
+                yield _told(own.copy(), count, short)
+                continue
+            for out, x in zip((many, single, owner), unpack(block, np.uint64, np.uint64, np.int64), strict=True):
+                out.append(x.copy())
+    if single:
+        many, single, owner = np.concatenate(many), np.concatenate(single), np.concatenate(owner)
+        order = np.argsort(single, kind="stable")
+        single, owner = single[order], owner[order]
+        again = np.zeros(len(single), bool)
+        again[1:] = single[1:] == single[:-1]
+        again[:-1] |= again[1:]
+        many = np.unique(many)
+        if len(many):
+            again |= many[np.minimum(np.searchsorted(many, single), len(many) - 1)] == single
+        if again.any():
+            yield _told(*_by_document(owner[again], single[again])[:3])
+    release()
+
+
+def _window_starts(w: Words, n: int, lists: pa.ListArray) -> np.ndarray:
+    """Windows whose anchor is among those that the document was told; lists: an array of binaries for each document."""
+    starts, value, _ = anchors(w, n)
+    if not len(starts):
+        return starts
+    told = lists.flatten()
+    short = np.frombuffer(b"".join(x.as_buffer() for x in told), np.uint32)
+    row = np.repeat(np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy()), pa.compute.binary_length(told).to_numpy() // 4)
+    known = np.unique((row.astype(np.uint64) << U(32)) | short)
+    new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (w.doc[starts[1:]] != w.doc[starts[:-1]])])
+    asked = (w.doc[starts[new]].astype(np.uint64) << U(32)) | (value[new] >> U(32))
+    hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked if len(known) else np.zeros(len(asked), bool)
+    return starts[np.repeat(hit, np.diff(np.r_[new, len(starts)]))]
 
 
 def digit_bounds(n: int) -> list[int]:
     return [n * k // min(DIGITS, n) for k in range(min(DIGITS, n) + 1)]
 
 
-def _suffix_blocks(batches: Iterator[pa.RecordBatch], n: int, parts: int, known) -> Iterator[pa.RecordBatch]:
-    """Blocks of suffixes by first digit; and, with part -1, occurrences that are known to be repeats."""
-    member = _Set(np.frombuffer(known.value, np.uint64)) if known is not None else None
+def _suffix_blocks(batches: Iterator[pa.RecordBatch], n: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of suffixes by first digit; and, of five columns, occurrences that are known to be repeats."""
     edges = digit_bounds(n)
     for batch in pieces(batches):
         valid = np.asarray(batch.column(0).is_valid())
@@ -170,11 +226,7 @@ def _suffix_blocks(batches: Iterator[pa.RecordBatch], n: int, parts: int, known)
         data, off = buffers(batch.column(1))
         prints = text_prints(data, off).view(np.int64)
         w = Words(data, off)
-        if member is None:
-            starts = np.flatnonzero(_windows(w, n))
-        else:
-            starts, value, _ = anchors(w, n)
-            starts = starts[member(value)]
+        starts = _window_starts(w, n, batch.column(2))
         # one of the rows that repeat a document
         row = np.lexsort((prints, ids))
         same = np.zeros(len(ids), bool)
@@ -207,7 +259,7 @@ def _suffix_blocks(batches: Iterator[pa.RecordBatch], n: int, parts: int, known)
         later = np.sort(order[~head])
         if len(later):
             own, counts = np.unique(doc[later], return_counts=True)
-            out_part.append(-1)
+            out_part.append(int(prints[own[0]].astype(np.uint64) % U(parts)))
             out_block.append(pack(ids[own], prints[own], counts.astype(np.uint32), at[later], np.zeros(len(later), np.uint8)))
         part = (mix(digits[0][lead].astype(np.uint64)) % U(parts)).astype(np.int64)
         split, present, edge = Packer.split(part, parts)
@@ -225,7 +277,12 @@ def _radix_groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Reco
     ids, prints, at, many, digits = [], [], [], [], [[] for _ in range(width)]
     for batch in batches:
         for block in batch.column(1):
-            i, p, c, a, m, *d = unpack(block.as_buffer(), np.int64, np.int64, np.uint32, np.uint32, np.uint8, *[np.uint32] * width)
+            block = block.as_buffer()
+            if int(np.frombuffer(block, np.int64, 1)[0]) == 5:
+                i, p, c, a, f = unpack(block, np.int64, np.int64, np.uint32, np.uint32, np.uint8)
+                yield _marks(i.copy(), p.copy(), c.astype(np.int64), a, f)
+                continue
+            i, p, c, a, m, *d = unpack(block, np.int64, np.int64, np.uint32, np.uint32, np.uint8, *[np.uint32] * width)
             ids.append(np.repeat(i, c))
             prints.append(np.repeat(p, c))
             at.append(a.copy())
@@ -251,6 +308,13 @@ def _radix_groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Reco
         return
     order = np.lexsort((at[rows], prints[rows], ids[rows], group))
     rows, group = rows[order], group[order]
+    # rows that repeat a document bring its suffixes again
+    own = np.r_[True, (group[1:] != group[:-1]) | (ids[rows[1:]] != ids[rows[:-1]]) | (prints[rows[1:]] != prints[rows[:-1]]) | (at[rows[1:]] != at[rows[:-1]])]
+    begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    several = np.repeat((np.add.reduceat(own.astype(np.int64), begin) > 1) | (np.maximum.reduceat(many[rows], begin) > 0), np.diff(np.r_[begin, len(rows)]))
+    rows, group = rows[own & several], group[own & several]
+    if not len(rows):
+        return
     first = np.r_[True, group[1:] != group[:-1]]
     order = np.lexsort((at[rows], prints[rows], ids[rows]))
     rows, first = rows[order], first[order]
@@ -267,13 +331,6 @@ def _marks(ids, prints, counts, at, first) -> pa.RecordBatch:
     )
 
 
-def _known_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in batch.column(1):
-            i, p, c, a, f = unpack(block.as_buffer(), np.int64, np.int64, np.uint32, np.uint32, np.uint8)
-            yield _marks(i.copy(), p.copy(), c.astype(np.int64), a, f)
-
-
 RUNS = "array<struct<first_word:int,end_word:int,removable:boolean>>"
 
 
@@ -306,19 +363,15 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
     rows = id_text(docs)
-    again = durable(
+    told = durable(
         rows.mapInArrow(lambda it: _anchor_blocks(it, words, parts), "part int, block binary")
         .repartitionById(parts, F.col("part"))
-        .mapInArrow(_repeated_anchors, "anchor long")
+        .mapInArrow(_repeated_anchors, "doc_id long, anchors binary")
     )
-    known = None
-    if again.count() <= ANCHORS:
-        table = again.toArrow().column(0).combine_chunks()
-        known = spark.sparkContext.broadcast(np.asarray(table).astype(np.int64).tobytes())
-    blocks = durable(rows.mapInArrow(lambda it: _suffix_blocks(it, words, parts, known), "part int, block binary"))
-    sorted_marks = blocks.filter("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(lambda it: _radix_groups(it, words), "doc_id long, print long, marks binary")
-    known_marks = blocks.filter("part < 0").mapInArrow(_known_marks, "doc_id long, print long, marks binary")
-    gathered = sorted_marks.unionByName(known_marks).groupBy("doc_id", "print").agg(F.collect_list("marks").alias("marks"))
+    texts = Bloom(told.select("doc_id").distinct()).rows(rows).join(told.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")), "doc_id").select("doc_id", "text", "anchors")
+    blocks = texts.mapInArrow(lambda it: _suffix_blocks(it, words, parts), "part int, block binary")
+    marks = blocks.repartitionById(parts, F.col("part")).mapInArrow(lambda it: _radix_groups(it, words), "doc_id long, print long, marks binary")
+    gathered = marks.groupBy("doc_id", "print").agg(F.collect_list("marks").alias("marks"))
     return gathered.mapInArrow(_runs(words), f"doc_id long, text_print long, runs {RUNS}")
 
 
@@ -332,13 +385,16 @@ def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     spans = durable(runs.filter(F.size("removable") > 0).groupBy("doc_id").agg(F.collect_list(F.struct("text_print", "removable")).alias("cuts")))
     name = fresh(docs, "cuts")
     key = fresh(docs, "cut_id")
-    joined = docs.join(spans.select(F.col("doc_id").alias(key), F.col("cuts").alias(name)), docs["doc_id"] == F.col(key), "left").drop(key)
+    # texts that are cut move, others stay where they are
+    bloom = Bloom(spans.select("doc_id"))
+    asked = bloom.rows(docs)
+    joined = asked.join(spans.select(F.col("doc_id").alias(key), F.col("cuts").alias(name)), asked["doc_id"] == F.col(key), "left").drop(key)
     columns = docs.columns
     where = columns.index("text")
     size = columns.index("n_chars") if "n_chars" in columns else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, size=8 << 20):
+        for batch in pieces(batches):
             cuts = batch.column(len(columns))
             out = [batch.column(k) for k in range(len(columns))]
             touched = np.flatnonzero(np.asarray(cuts.is_valid()))
@@ -373,7 +429,7 @@ def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
             else:
                 yield pa.record_batch(out, names=columns)
 
-    return joined.mapInArrow(cut, docs.schema)
+    return bloom.rows(docs, inside=False).unionByName(joined.mapInArrow(cut, docs.schema))
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
