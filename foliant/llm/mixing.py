@@ -44,8 +44,8 @@ ENTROPY = 0.999
 MAX_EPOCHS = 2.0
 BLOCK = 1000
 STEPS = 40
-#: Sources whose plan is sent to every task; beyond it, it is joined.
-SENT_SOURCES = 1_000
+#: Sources whose plan (about 100 bytes each) is sent to every task; beyond it, it is joined by source and one of ``SALTS`` shares of it.
+SENT_SOURCES, SALTS = 100_000, 64
 
 
 def words(docs: DataFrame, name: str = "n_tokens") -> DataFrame:
@@ -117,15 +117,26 @@ def _key(*parts):
     return F.md5(F.concat_ws(":", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]))
 
 
+def _with_plan(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Joined by source; where the table has shares of each, so that no source gathers in one task."""
+    if "salt" not in table.columns:
+        return rows.join(F.broadcast(table), "source")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_md5"), F.lit(SALTS)).cast("int")).join(table, ["source", "salt"]).drop("salt")
+
+
+def _shared(table: DataFrame, few: bool) -> DataFrame:
+    return table if few else table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _placed(rows: DataFrame, table: DataFrame) -> DataFrame:
     """With the source's plan, the block of each row, and the order of blocks and rows in the partial pass."""
     number = F.conv(F.substring(_key("doc_id", "text_md5"), 1, 12), 16, 10).cast("long")
     return (
-        rows.join(table, "source").withColumn("block", number % F.col("blocks")).withColumn("block_key", _key("source", "whole", "block")).withColumn("row_key", _key("doc_id", "text_md5", "whole"))
+        _with_plan(rows, table).withColumn("block", number % F.col("blocks")).withColumn("block_key", _key("source", "whole", "block")).withColumn("row_key", _key("doc_id", "text_md5", "whole"))
     )
 
 
-def _planned(docs: DataFrame, entropy: float, max_epochs: float, budget: int | None, block: int) -> tuple[DataFrame, DataFrame, bool]:
+def _planned(docs: DataFrame, entropy: float, max_epochs: float, budget: int | None, block: int, sent: int) -> tuple[DataFrame, DataFrame, bool]:
     """The rows without their texts, the plan of each source, and whether it is small enough to be sent."""
     counted = words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text")))
     rows = durable(counted.select("doc_id", "source", "n_tokens", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")))
@@ -135,8 +146,7 @@ def _planned(docs: DataFrame, entropy: float, max_epochs: float, budget: int | N
     table = docs.sparkSession.createDataFrame(
         [(s, whole, part, max(1, -(-n // block))) for (s, _, _, whole, part), (_, _, n) in zip(made, found, strict=True)], "source string, whole long, part long, blocks long"
     )
-    few = len(found) <= SENT_SOURCES
-    return rows, F.broadcast(table) if few else table, few
+    return rows, table, len(found) <= sent
 
 
 def _partial(placed: DataFrame) -> DataFrame:
@@ -151,26 +161,27 @@ def _partial(placed: DataFrame) -> DataFrame:
     return counted.withColumn("start", F.min("start").over(W.partitionBy("source", "block", "row_key"))).filter("start < part")
 
 
-def mix(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: int | None = None, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: int | None = None, block: int = BLOCK, sent: int = SENT_SOURCES) -> DataFrame:
     """(doc_id, source, text_md5, n_tokens, pass, block, start): a row for each use of a document.
 
     start: the source's tokens before this document in the partial pass, 0 in whole ones.
     """
-    rows, table, _ = _planned(docs, entropy, max_epochs, budget, block)
-    placed = _placed(rows, table)
+    rows, table, few = _planned(docs, entropy, max_epochs, budget, block, sent)
+    placed = _placed(rows, _shared(table, few))
     columns = ["doc_id", "source", "text_md5", "n_tokens", "pass", "block", "start"]
     whole = placed.filter("whole > 0").withColumn("pass", F.explode(F.expr("sequence(0L, whole - 1)"))).withColumn("start", F.lit(0).cast("long"))
     return whole.select(columns).unionByName(_partial(placed).withColumn("pass", F.col("whole")).select(columns))
 
 
-def mixed(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: int | None = None, block: int = BLOCK) -> DataFrame:
+def mixed(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: int | None = None, block: int = BLOCK, sent: int = SENT_SOURCES) -> DataFrame:
     """Rows of ``docs``, all columns as they are, as often as the mix uses them.
 
     What a partial pass takes of a source ends at one place of its order, so that two keys
-    a source tell for each row whether it is taken, and texts are not exchanged.
+    a source tell for each row whether it is taken, and texts are not exchanged while the
+    plan of all sources is small enough to be sent; beyond that rows are exchanged once, by source and share.
     """
-    rows, table, few = _planned(docs, entropy, max_epochs, budget, block)
-    ends = _partial(_placed(rows, table)).groupBy("source").agg(F.max(F.struct("block_key", "row_key")).alias("end"))
+    rows, table, few = _planned(docs, entropy, max_epochs, budget, block, sent)
+    ends = _partial(_placed(rows, _shared(table, few))).groupBy("source").agg(F.max(F.struct("block_key", "row_key")).alias("end"))
     limits = durable(table.join(ends, "source", "left").select("source", "whole", "part", "blocks", F.col("end.block_key").alias("end_block"), F.col("end.row_key").alias("end_row")))
     own = fresh(docs, "mix_row")
     packed = docs.select(
@@ -179,7 +190,7 @@ def mixed(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPO
         F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_md5"),
         F.struct(*[docs[c] for c in docs.columns]).alias(own),
     )
-    keyed = _placed(packed, F.broadcast(limits) if few else limits)
+    keyed = _placed(packed, _shared(limits, few))
     taken = (F.col("block_key") < F.col("end_block")) | ((F.col("block_key") == F.col("end_block")) & (F.col("row_key") <= F.col("end_row")))
     uses = F.col("whole") + F.when(taken, 1).otherwise(0)
     return keyed.withColumn("uses", uses).filter("uses > 0").withColumn("use", F.explode(F.expr("sequence(1L, uses)"))).select(f"{own}.*")

@@ -7,9 +7,10 @@ told apart by any bit: a bucket with one distinct key stays whole, whatever its
 (a single document over the limit, or copies of one row), and has
 ``over_limit`` set.
 
-The split needs byte sums of key prefixes only: ``ROUND_BITS`` bits at a time are
-aggregated for the buckets that are still too large, so the driver sees the
-directory and nothing that grows with the rows of a shard.
+Rows travel as (key, bytes), equal ones once with their number.  They are exchanged by the
+first bits of the key, as many as all buckets are sure to be split on (one number each is
+aggregated to tell), and each task splits the buckets of its prefixes.  There is no
+directory in the driver, and none is sent.
 
 A shard's name is its prefix in binary digits, '' for the whole table.  A null or
 empty text has 0 bytes.  Null doc_ids and repeated rows are placed like others.
@@ -28,7 +29,6 @@ from foliant.llm.core import documents, durable
 
 LIMIT = 16 << 20
 BITS = 60
-ROUND_BITS = 10
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -42,70 +42,77 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def split(first: int, depth: int, keys: np.ndarray, size: np.ndarray, several: np.ndarray, bits: int, limit: int) -> tuple[list[tuple[int, int, bool]], list[tuple[int, int]]]:
-    """Split one bucket along the sums of its sub-prefixes.
-
-    first: the bucket's lowest key; keys: lowest keys of sub-prefixes ``bits``
-    longer, in order, with their bytes and whether they hold more than one key.
-    Returns finished buckets (first, depth, over the limit) and those to look at more closely.
-    """
-    done, closer = [], []
-    todo = [(first, depth, 0, len(keys))]
+def split(keys: np.ndarray, size: np.ndarray, depth: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Depth of each key's bucket, and whether it is over the limit; keys are in order and share their first ``depth`` bits."""
+    total = np.r_[0, np.cumsum(size)]
+    out, over = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    todo = [(0, len(keys), depth)] if len(keys) else []
     while todo:
-        low, d, a, b = todo.pop()
-        fits = int(size[a:b].sum()) <= limit
-        if fits or (b - a == 1 and not several[a]):
-            done.append((low, d, not fits))
-        elif d == depth + bits:
-            closer.append((low, d))
-        else:
-            half = low + (1 << (BITS - d - 1))
-            mid = int(np.searchsorted(keys, half))
-            todo += [(low, d + 1, a, mid), (half, d + 1, mid, b)]
-    return done, closer
-
-
-def directory(rows: DataFrame, limit: int = LIMIT) -> list[tuple[int, int, bool]]:
-    """Buckets (lowest key, depth, over the limit) in order of their keys; they cover all keys."""
-    spark = rows.sparkSession
-    done: list[tuple[int, int, bool]] = []
-    open_, depth = [(0, 0)], 0
-    while open_:
-        bits = min(ROUND_BITS, BITS - depth)
-        fine = (1 << (BITS - depth - bits)) - 1
-        prefix = F.col("key").bitwiseAND(F.lit(((1 << BITS) - 1) ^ fine))
-        mine = rows
-        if depth:
-            chosen = spark.createDataFrame([(low,) for low, _ in open_], "low long")
-            mine = rows.join(chosen, rows["key"].bitwiseAND(F.lit(((1 << BITS) - 1) ^ ((1 << (BITS - depth)) - 1))) == chosen["low"], "left_semi")
-        sums = mine.groupBy(prefix.alias("p")).agg(F.sum("n_bytes").alias("b"), (F.min("key") < F.max("key")).alias("s")).toArrow().sort_by("p")
-        p, b, s = (sums.column(c).to_numpy() for c in ("p", "b", "s"))
-        again = []
-        for low, d in open_:
-            x, y = np.searchsorted(p, [low, low + (1 << (BITS - d))])
-            finished, closer = split(low, d, p[x:y], b[x:y], s[x:y], bits, limit)
-            done += finished
-            again += closer
-        open_, depth = again, depth + bits
-    return sorted(done)
+        a, b, d = todo.pop()
+        fits = total[b] - total[a] <= limit
+        if fits or keys[a] == keys[b - 1]:
+            out[a:b], over[a:b] = d, not fits
+            continue
+        half = (int(keys[a]) >> (BITS - d) << (BITS - d)) + (1 << (BITS - d - 1))
+        mid = a + int(np.searchsorted(keys[a:b], half))
+        todo += [(x, y, d + 1) for x, y in ((a, mid), (mid, b)) if y > x]
+    return out, over
+
+
+def first_bits(rows: DataFrame, limit: int = LIMIT) -> int:
+    """Bits that every bucket is split on, a few less than the mean bucket's."""
+    total = int(rows.agg(F.sum(F.col("n_bytes") * F.col("times"))).first()[0] or 0)
+    bits = min(30, max(0, total // max(1, limit)).bit_length() - 2)
+    if bits <= 0:
+        return 0
+    sums = durable(rows.groupBy(F.shiftright("key", BITS - bits).alias("p")).agg(F.sum(F.col("n_bytes") * F.col("times")).alias("b")))
+    while bits > 0:
+        # the parents of the prefixes are all over the limit, and there is none without rows
+        least = sums.groupBy(F.shiftright("p", 1).alias("p")).agg(F.sum("b").alias("b")).agg(F.min("b"), F.count("*")).first()
+        if least[0] > limit and least[1] == 1 << (bits - 1):
+            break
+        bits -= 1
+        sums = sums.groupBy(F.shiftright("p", 1).alias("p")).agg(F.sum("b").alias("b"))
+    return bits
 
 
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, shard, over_limit) of each row."""
-    rows = durable(keyed(docs))
-    buckets = directory(rows, limit)
-    low = np.array([b[0] for b in buckets], np.int64)
-    names = pa.array([format(b[0] >> (BITS - b[1]), f"0{b[1]}b") if b[1] else "" for b in buckets])
-    over = np.array([b[2] for b in buckets], bool)
-    sent = docs.sparkSession.sparkContext.broadcast((low, names, over))
+    rows = durable(keyed(docs).groupBy("key", "doc_id", "n_bytes").agg(F.count("*").alias("times")))
+    bits = first_bits(rows, limit)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, names, over = sent.value
-        for batch in batches:
-            at = np.searchsorted(low, batch.column("key").to_numpy(), side="right") - 1
-            yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), names.take(pa.array(at)), pa.array(over[at])], names=["doc_id", "n_bytes", "shard", "over_limit"])
+        """Rows come in order of their keys; a prefix is done when the next one begins."""
+        held: list[pa.RecordBatch] = []
+
+        def done(upto: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(upto)
+            keys, size = table.column("key").to_numpy(), table.column("n_bytes").to_numpy() * table.column("times").to_numpy()
+            depth, over = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            edge = np.flatnonzero(np.r_[True, (keys[1:] >> (BITS - bits)) != (keys[:-1] >> (BITS - bits)), True])
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                depth[a:b], over[a:b] = split(keys[a:b], size[a:b], bits, limit)
+            names = [format(k >> (BITS - d), f"0{d}b") if d else "" for k, d in zip(keys.tolist(), depth.tolist(), strict=True)]
+            table = table.combine_chunks()
+            return pa.record_batch([*[table.column(c).combine_chunks() for c in ("doc_id", "n_bytes", "times")], pa.array(names, pa.string()), pa.array(over)], names=["doc_id", "n_bytes", "times", "shard", "over_limit"])
 
-    return rows.mapInArrow(place, "doc_id long, n_bytes long, shard string, over_limit boolean")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prefix = batch.column("key").to_numpy() >> (BITS - bits)
+            cut = int(np.searchsorted(prefix, prefix[-1]))
+            if held and prefix[0] != int(held[-1].column("key")[-1].as_py()) >> (BITS - bits):
+                yield done(held)
+                held = []
+            if cut:
+                yield done([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield done(held)
+
+    placed = rows.repartition(F.shiftright("key", BITS - bits)).sortWithinPartitions("key").mapInArrow(place, "doc_id long, n_bytes long, times long, shard string, over_limit boolean")
+    return placed.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc_id", "n_bytes", "shard", "over_limit")
 
 
 def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,6 +272,8 @@ def test_mixing(spark, docs, empty):
     assert np.abs(np.array([total[s] for s in sorted(size)]) / sum(total.values()) - q).max() < 0.02
     assert max(total[s] / size[s] for s in size) <= 4.1 and {g[0] for g in got} == set(range(500))
     assert mixing.exponent([0.9, 0.1], 1.0, 2.0) > 0
+    assert sorted(map(key, mixing.mix(df, 0.95, 4.0, block=20, sent=1).collect())) == want  # more sources than are sent
+    assert Counter(r.doc_id for r in mixing.mixed(df, 0.95, 4.0, block=20, sent=1).collect()) == Counter(g[0] for g in got)
     out = mixing.mixed(wide(docs), 1.0, 3.0)
     assert out.columns == wide(docs).columns
     uses = Counter((r[0]) for r in mixing.mix(docs, 1.0, 3.0).collect())
