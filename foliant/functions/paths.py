@@ -108,11 +108,17 @@ def content_kind(media_type: Column, href: Column) -> Column:
     )
 
 
+@F.pandas_udf(T.StringType())
+def one_decimal(x: pd.Series) -> pd.Series:
+    """With one decimal, halves of the exact value to the even digit; the JVM's formatter rounds them up."""
+    return x.map(lambda v: None if v is None or v != v else f"{v:.1f}")
+
+
 def format_size(n: Column) -> Column:
     """Bytes as B, KB, MB, GB or TB with one decimal."""
     x = n.cast("double")
     out = None
     for k, unit in enumerate(["B", "KB", "MB", "GB"]):
-        text = F.concat(F.format_string("%.1f", x / 1024**k), F.lit(f" {unit}"))
+        text = F.concat(one_decimal(x / 1024**k), F.lit(f" {unit}"))
         out = F.when(x < 1024 ** (k + 1), text) if out is None else out.when(x < 1024 ** (k + 1), text)
-    return out.otherwise(F.concat(F.format_string("%.1f", x / 1024**4), F.lit(" TB")))
+    return out.otherwise(F.concat(one_decimal(x / 1024**4), F.lit(" TB")))

@@ -6,10 +6,13 @@ result on.  White space is Unicode's, spelled out so that other engines agree.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,9 +48,21 @@ STEPS = [
 ]
 
 
-@F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def composed(text: pa.Array) -> pa.Array:
+    """NFC.  Arrow's own kernel leaves some decomposed letters of longer columns as they are, so only the test for ASCII is left to it."""
+    odd = np.flatnonzero(pc.fill_null(pc.invert(pc.string_is_ascii(text)), False).to_numpy(zero_copy_only=False))
+    if not len(odd):
+        return text
+    values = text.to_pylist()
+    for k in odd:
+        if not unicodedata.is_normalized("NFC", values[k]):
+            values[k] = unicodedata.normalize("NFC", values[k])
+    return pa.array(values, text.type)
+
+
+@F.arrow_udf(T.StringType())
+def nfc(text: pa.Array) -> pa.Array:
+    return composed(text)
 
 
 def swap(text: Column, table) -> Column:
@@ -69,22 +84,38 @@ def repaired(text: Column, step: Step) -> Column:
     return F.regexp_replace(text, step.pattern, step.replacement) if step.pattern else swap(text, step.table)
 
 
+def _chain(steps: list[Step], compose: bool):
+    """All steps on a column of texts: a struct of the text and its counters."""
+
+    def run(text: pa.Array) -> pa.Array:
+        counts = {c: pa.array(np.zeros(len(text), np.int64)) for c in COUNTERS}
+        for step in steps:
+            if step.pattern:
+                n, new = pc.count_substring_regex(text, step.pattern), pc.replace_substring_regex(text, step.pattern, re.sub(r"[$](\d)", r"\\\1", step.replacement))
+            else:
+                new = text
+                for old, to in step.table:
+                    new = pc.replace_substring(new, old, to)
+                single = all(len(old) == 1 for old, _ in step.table)
+                n = pc.count_substring_regex(text, "[" + "".join(re.escape(old) for old, _ in step.table) + "]") if single else pc.subtract(pc.utf8_length(text), pc.utf8_length(new))
+            counts[step.counter] = pc.add(counts[step.counter], pc.fill_null(pc.cast(n, pa.int64()), 0))
+            text = new
+        if compose:
+            new = composed(text)
+            counts["unicode"] = pc.fill_null(pc.cast(pc.not_equal(text, new), pa.int64()), 0)
+            text = new
+        return pa.StructArray.from_arrays([text, *counts.values()], names=["text", *counts])
+
+    return run
+
+
 def clean(df: DataFrame, column: str = "text", ocr: bool = True, quotes: bool = True, misread: bool = True, punctuation: bool = True, spaces: bool = True, compose: bool = True) -> DataFrame:
     """``df`` with the text repaired and a column for each counter; a null text stays null and counts 0."""
     chosen = {"double_spaces": spaces, "ocr_ligatures": ocr, "smart_quotes": ocr and quotes, "encoding": misread, "punctuation": punctuation}
-    counts = dict.fromkeys(COUNTERS, F.lit(0).cast("long"))
-    keep = [c for c in df.columns if c != column]
-    out = df.select(*keep, column, *[v.alias(k) for k, v in counts.items()])
-    for step in STEPS:
-        if chosen[step.counter]:
-            plus = (F.col(step.counter) + F.coalesce(found(F.col(column), step), F.lit(0))).cast("long")
-            others = [c for c in COUNTERS if c != step.counter]
-            out = out.select(*keep, repaired(F.col(column), step).alias(column), *others, plus.alias(step.counter))
-    if compose:
-        out = out.withColumn("composed__", nfc(column))
-        changed = F.coalesce((F.col(column) != F.col("composed__")).cast("long"), F.lit(0))
-        out = out.select(*keep, F.col("composed__").alias(column), *COUNTERS[:-1], changed.alias("unicode"))
-    return out.select(*df.columns, *COUNTERS)
+    kind = T.StructType([T.StructField("text", T.StringType()), *[T.StructField(c, T.LongType()) for c in COUNTERS]])
+    chain = F.arrow_udf(_chain([s for s in STEPS if chosen[s.counter]], compose), kind)
+    out = df.withColumn("repaired__", chain(F.col(column)))
+    return out.select(*[F.col("repaired__.text").alias(c) if c == column else F.col(c) for c in df.columns], *[F.col(f"repaired__.{c}").alias(c) for c in COUNTERS])
 
 
 #: Defects put into clean text, to give the repair something to do; literal replacements in order.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions.paths import basename, escape_attribute, escape_text, trim
+from foliant.functions.paths import basename, escape_attribute, escape_text, percent_decode, percent_encode, trim
 
 STORE_NAMES = ["Sigil version", "dtb:uid"]
 STORE_PREFIXES = ["amazon:", "calibre:", "ibooks:", "kindle:"]
@@ -61,26 +61,32 @@ def first_of_spine(entries: DataFrame, n: int = 3) -> DataFrame:
 
 
 def rename_hrefs(manifest: DataFrame, renames: DataFrame) -> DataFrame:
-    """Manifest with renamed files: matched by path, else by name alone (least old path first)."""
-    exact = renames.select("book_id", F.col("old_path").alias("href"), F.col("new_path").alias("exact"))
+    """Manifest with renamed files: matched by decoded path, else by path as written, else by name alone (least old path first).
+
+    New addresses are percent-encoded, others stay as they are.
+    """
+    exact = renames.select("book_id", F.col("old_path").alias("plain"), F.col("new_path").alias("exact"))
+    raw = renames.select("book_id", F.col("old_path").alias("href"), F.col("new_path").alias("raw"))
     named = renames.groupBy("book_id", basename(F.col("old_path")).alias("base")).agg(F.min_by("new_path", "old_path").alias("named"))
-    joined = manifest.withColumn("base", basename(F.col("href"))).join(exact, ["book_id", "href"], "left").join(named, ["book_id", "base"], "left")
-    target = F.coalesce("exact", F.when(F.col("named").isNotNull(), F.concat(F.substring(F.col("href"), F.lit(1), F.length("href") - F.length("base")), basename(F.col("named")))))
+    decoded = manifest.withColumn("plain", percent_decode("href"))
+    joined = decoded.withColumn("base", basename(F.col("plain"))).join(exact, ["book_id", "plain"], "left").join(raw, ["book_id", "href"], "left").join(named, ["book_id", "base"], "left")
+    target = F.coalesce("exact", "raw", F.when(F.col("named").isNotNull(), F.concat(F.substring(F.col("plain"), F.lit(1), F.length("plain") - F.length("base")), basename(F.col("named")))))
     others = [c for c in manifest.columns if c not in ("href", "media_type")]
-    return joined.select(*others, F.coalesce(target, "href").alias("href"), F.when(target.isNotNull(), "image/jpeg").otherwise(F.col("media_type")).alias("media_type"))
+    return joined.select(*others, F.when(target.isNotNull(), percent_encode(target)).otherwise(F.col("href")).alias("href"), F.when(target.isNotNull(), "image/jpeg").otherwise(F.col("media_type")).alias("media_type"))
 
 
 def resolve(references: DataFrame, renames: DataFrame) -> DataFrame:
-    """References (book_id, ref) with ``target``: every place of a renamed file's name replaced."""
+    """References (book_id, ref) with ``target``: every place of a renamed file's name replaced in the decoded reference; others as written."""
     named = renames.groupBy("book_id", basename(F.col("old_path")).alias("base")).agg(F.min_by(basename(F.col("new_path")), "old_path").alias("new_name"))
-    joined = references.withColumn("base", basename(F.col("ref"))).join(named, ["book_id", "base"], "left")
-    return joined.withColumn("target", F.when(F.col("new_name").isNotNull(), F.replace("ref", "base", "new_name")).otherwise(F.col("ref"))).drop("base", "new_name")
+    decoded = references.withColumn("plain", percent_decode("ref"))
+    joined = decoded.withColumn("base", basename(F.col("plain"))).join(named, ["book_id", "base"], "left")
+    return joined.withColumn("target", F.when(F.col("new_name").isNotNull(), F.replace("plain", "base", "new_name")).otherwise(F.col("ref"))).drop("plain", "base", "new_name")
 
 
 def without_files(manifest: DataFrame, gone: DataFrame) -> DataFrame:
     """Manifest less the items whose file name is among those of ``gone`` (book_id, path), in any folder."""
     names = gone.select("book_id", basename(F.col("path")).alias("base")).distinct()
-    return manifest.withColumn("base", basename(F.col("href"))).join(names, ["book_id", "base"], "left_anti").drop("base")
+    return manifest.withColumn("base", basename(percent_decode("href"))).join(names, ["book_id", "base"], "left_anti").drop("base")
 
 
 def toc_usable(nav: DataFrame, files: DataFrame) -> DataFrame:

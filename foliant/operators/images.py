@@ -77,11 +77,20 @@ def flatten(rgba: np.ndarray) -> np.ndarray:
     return ((c * a + 255 * (255 - a) + 127) // 255).astype(np.uint8)
 
 
-def split_spread(image: np.ndarray) -> list[np.ndarray]:
-    """A wide spread as its right and left half, a landscape page turned, a portrait page as it is."""
+def split_spread(image: np.ndarray, rotate_left: bool = False) -> list[np.ndarray]:
+    """A wide spread as its right and left half, a landscape page turned to the left or right, a portrait page as it is."""
     h, w = image.shape[:2]
     if w <= h:
         return [image]
     if w / h > 1.8:
         return [image[:, w // 2 :], image[:, : w // 2]]
-    return [np.rot90(image)]
+    return [np.rot90(image, 1 if rotate_left else -1)]
+
+
+def gray_to_rgb(gray: np.ndarray) -> np.ndarray:
+    return np.repeat(gray[..., None], 3, axis=-1)
+
+
+def largest_sampling(components):
+    """(image_id, hmax, vmax) over the components (image_id, h, v) of each image."""
+    return components.groupBy("image_id").agg(F.max("h").alias("hmax"), F.max("v").alias("vmax"))

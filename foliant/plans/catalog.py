@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant import settings
 from foliant.functions import paths, text
-from foliant.operators import books, images, markup, reports, styles
+from foliant.operators import books, huffman, images, markup, opf, process, references, reports, styles
 from foliant.sources import archives
 from foliant.sources import markup as reader
+from foliant.sources.store import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,7 +56,8 @@ def text_report_by_lang(spark, sf_dir):
     return reports.merge(text.clean(spoiled(spark, sf_dir, "doc_id", "lang")), "lang")
 
 
-@query(f"""SELECT doc_id, CASE WHEN {_TOTAL} = 0 THEN 'no text issues found' ELSE concat_ws(', ', {", ".join(f"CASE WHEN {c} > 0 THEN {c} || ' {label}' END" for c, label in reports.LABELS.items())}) END AS summary FROM ({_CLEAN})""")
+@query(f"""SELECT doc_id, CASE WHEN {_TOTAL} = 0 THEN 'no text issues found' ELSE concat_ws(', ', CASE WHEN double_spaces > 0 THEN double_spaces || ' extra spaces' END, CASE WHEN ocr_ligatures > 0 THEN ocr_ligatures || ' OCR artifacts' END, CASE WHEN smart_quotes > 0 THEN smart_quotes || ' quotes normalized' END,
+  CASE WHEN encoding > 0 THEN encoding || ' encoding fixes' END, CASE WHEN punctuation > 0 THEN punctuation || ' punctuation fixes' END, CASE WHEN unicode > 0 THEN unicode || ' unicode fixes' END) END AS summary FROM ({_CLEAN})""")
 def text_summary(spark, sf_dir):
     return text.clean(spoiled(spark, sf_dir, "doc_id")).select("doc_id", reports.summary().alias("summary"))
 
@@ -90,13 +94,13 @@ def _sanitize_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace({x}, '{S}+', ' ', 'g'), '-+', '-', 'g'), '^{S}+|{S}+$', '', 'g')"
 
 
-_TITLE = "'  ' || substr(text, 1, 230) || ' a/b: \"c\"*?'"
+_TITLE = "'  ' || text || ' a/b: \"c\"*?'"
 
 
 @query(f"SELECT doc_id, regexp_replace(substr({_sanitize_sql(f'(source || chr(32) || chr(45) || chr(32) || {chr(116)}.title)')}, 1, 200), '{S}+$', '') || '.epub' AS filename FROM (SELECT doc_id, source, regexp_replace({_TITLE}, '^{S}+|{S}+$', '', 'g') AS title FROM documents) t")
 def filename_format(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    title = F.concat(F.lit("  "), F.substring("text", 1, 230), F.lit(' a/b: "c"*?'))
+    title = F.concat(F.lit("  "), F.col("text"), F.lit(' a/b: "c"*?'))
     return docs.select("doc_id", paths.filename(title, F.col("source")).alias("filename"))
 
 
@@ -190,7 +194,7 @@ _RENAMES = "SELECT p_size AS book_id, 'img/' || (p_partkey % 3) || '/' || p_bran
 
 
 @query(f"""WITH m AS (SELECT *, split_part(href, '/', -1) AS base FROM ({_ITEMS})), r AS ({_RENAMES}), n AS (SELECT book_id, split_part(old_path, '/', -1) AS base, arg_min(new_path, old_path) AS named FROM r GROUP BY ALL)
-SELECT m.book_id, pos, coalesce(new_path, substr(href, 1, length(href) - length(m.base)) || split_part(named, '/', -1), href) AS href, CASE WHEN new_path IS NULL AND named IS NULL THEN media_type ELSE 'image/jpeg' END AS media_type
+SELECT m.book_id, pos, coalesce(replace(coalesce(new_path, substr(href, 1, length(href) - length(m.base)) || split_part(named, '/', -1)), '#', '%23'), href) AS href, CASE WHEN new_path IS NULL AND named IS NULL THEN media_type ELSE 'image/jpeg' END AS media_type
 FROM m LEFT JOIN r ON m.book_id = r.book_id AND href = old_path LEFT JOIN n ON m.book_id = n.book_id AND m.base = n.base""")
 def rename_manifest(spark, sf_dir):
     part = table(spark, sf_dir, "part")
@@ -274,10 +278,14 @@ def image_formats(spark, sf_dir):
     return found.select("book_id", F.array_join(F.transform(F.array_sort(F.map_entries("formats")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("formats"))
 
 
+_ENC, _IDPF = "http://www.w3.org/2001/04/xmlenc", "http://www.idpf.org/2008/embedding"
+_OPEN = f'<EncryptedData xmlns="{_ENC}#" a="{_IDPF}">'
 _DRM = [
-    (1, None, False), (2, "<x/>", False), (3, "http://www.w3.org/2001/04/xmlenc", True), (4, "http://www.w3.org/2001/04/xmlenc http://www.idpf.org/2008/embedding", False),
-    (5, '<EncryptedData xmlns="http://www.w3.org/2001/04/xmlenc#" a="http://www.idpf.org/2008/embedding"><CipherReference URI="a.otf"/></EncryptedData>', False),
-    (6, '<EncryptedData xmlns="http://www.w3.org/2001/04/xmlenc#" a="http://www.idpf.org/2008/embedding"><CipherReference URI="a.xhtml"/></EncryptedData>', True),
+    (1, None, False), (2, "<x/>", False), (3, _ENC, True), (4, f"<x>{_ENC} {_IDPF}</x>", False),
+    (5, f'{_OPEN}<CipherReference URI="a.otf"/></EncryptedData>', False), (6, f'{_OPEN}<CipherReference URI="a.xhtml"/></EncryptedData>', True),
+    (7, f'{_OPEN}<CipherReference URI="a.otf"/>', True), (8, f'{_OPEN}<!-- <CipherReference URI="a.xhtml"/> --></EncryptedData>', False),
+    (9, f'<r><EncryptedDatas/>{_OPEN}</EncryptedData><CipherReference URI="a.xhtml"/></r>', False), (10, f'{_OPEN}<d:CipherReference xmlns:d="{_ENC}#" URI="a.ttf"/><CipherReference URI=""/></EncryptedData>', True),
+    (11, f'<!DOCTYPE x [<!ENTITY e "x">]>{_OPEN}</EncryptedData>', True),
 ]
 
 
@@ -302,7 +310,7 @@ def zip_round_trip(spark, sf_dir):
 
 
 def _nodes(spark, sf_dir):
-    return reader.shred(table(spark, sf_dir, "pages"), "page_id", "html")
+    return kept(reader.shred(table(spark, sf_dir, "pages"), "page_id", "html"))
 
 
 @query()
@@ -345,3 +353,192 @@ def dithered_levels(spark, sf_dir):
             yield pd.DataFrame(rows, columns=["image_id", "level", "n"])
 
     return table(spark, sf_dir, "region").select("r_regionkey").mapInPandas(run, "image_id long, level long, n long")
+
+
+_PART = "SELECT p_size AS book_id, p_partkey AS k, p_brand AS brand, p_type AS kind, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS nth FROM part"
+
+
+def _packages(spark, sf_dir):
+    """A package document for each part size, its items the parts, read into nodes."""
+    part = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("book_id"), F.col("p_partkey").alias("k"), "p_brand", "p_type")
+    key = F.col("k").cast("string")
+    join = lambda *x: F.concat(*[c if isinstance(c, Column) else F.lit(c) for c in x])
+    item = join('<item id="i', key, '" href="img/', F.replace("p_brand", F.lit("#"), F.lit("%20")), "%20", key, '.png" media-type="image/png"/>')
+    ref = F.when(F.col("k") % 3 == 0, join('<itemref idref="i', key, '"/>')).when(F.col("k") % 3 == 1, F.lit('<itemref idref=""/>')).otherwise(F.lit(""))
+    held = part.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("k", item.alias("item"), ref.alias("ref"), "p_type"))).alias("x"), F.min("k").alias("least"))
+    said = lambda f: F.array_join(F.transform("x", lambda e: e[f]), "\n")
+    top = '<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" xmlns:d="http://purl.org/dc/elements/1.1/"><metadata>'
+    title = F.when(F.col("book_id") % 2 == 0, join("<title>other</title><d:title> Book ", F.col("book_id").cast("string"), "</d:title>")).otherwise(join("<title>Plain ", F.col("book_id").cast("string"), "</title>"))
+    author = F.when(F.col("book_id") % 3 == 0, F.lit("")).otherwise(join("<d:creator>", F.col("x")[0]["p_type"], "</d:creator>"))
+    meta = join('<meta name="cover" content="i', F.col("least").cast("string"), '"/><meta name="calibre:series" content="first"/><meta property="belongs-to-collection">last</meta><meta property="group-position"> </meta><meta name="calibre:series_index" content="2"/>')
+    opf = join(top, title, author, meta, "</metadata><manifest>", said("item"), "</manifest><spine>", said("ref"), "</spine></package>")
+    return kept(reader.shred(held.select("book_id", opf.alias("opf")), "book_id", "opf"))
+
+
+_HREF = "'img/' || replace(brand, '#', '%20') || '%20' || k || '.png'"
+
+
+@query(f"SELECT book_id, nth, 'i' || k AS id, {_HREF} AS href, 'image/png' AS media_type FROM ({_PART})")
+def opf_manifest(spark, sf_dir):
+    items = opf.manifest_items(_packages(spark, sf_dir))
+    return items.select("book_id", F.row_number().over(W.partitionBy("book_id").orderBy("pos")).cast("long").alias("nth"), "id", "href", "media_type")
+
+
+@query(f"SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY k) AS nth, 'i' || k AS idref, {_HREF} AS href FROM ({_PART}) WHERE k % 3 = 0")
+def opf_spine(spark, sf_dir):
+    nodes = _packages(spark, sf_dir)
+    found = books.spine_hrefs(opf.spine_items(nodes), opf.manifest_items(nodes))
+    return found.select("book_id", F.row_number().over(W.partitionBy("book_id").orderBy("pos")).cast("long").alias("nth"), "idref", "href")
+
+
+_METADATA = f"""SELECT book_id, CASE WHEN book_id % 2 = 0 THEN 'Book ' ELSE 'Plain ' END || book_id AS title, CASE WHEN book_id % 3 = 0 THEN '' ELSE kind END AS author, '' AS language,
+  'last' AS series, '2' AS series_index, 'i' || k AS cover_id, {_HREF} AS cover_href FROM ({_PART}) WHERE nth = 1"""
+
+
+@query(_METADATA)
+def opf_metadata(spark, sf_dir):
+    return opf.metadata(_packages(spark, sf_dir))
+
+
+@query(f"SELECT * REPLACE (CASE WHEN book_id % 5 = 0 THEN 'New & ' || book_id ELSE title END AS title, CASE WHEN book_id % 4 = 0 THEN 'A. B.' ELSE author END AS author) FROM ({_METADATA})")
+def opf_edited(spark, sf_dir):
+    """Titles and authors edited in the document, written and read again."""
+    nodes = _packages(spark, sf_dir)
+    n = F.col("book_id")
+    edits = nodes.select(F.col("doc_id").alias("book_id")).distinct().select("book_id", F.when(n % 5 == 0, F.concat(F.lit("New & "), n.cast("string"))).otherwise("").alias("title"), F.when(n % 4 == 0, "A. B.").alias("author"), F.lit(None).cast("string").alias("language"))
+    written = reader.unshred(opf.set_metadata(nodes, edits))
+    return opf.metadata(kept(reader.shred(written, "doc_id", "content")))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'b/y.opf'), (2, 'a/z/b.opf'), (3, 'c.opf'), (4, NULL)) t(book_id, opf_path)")
+def opf_found(spark, sf_dir):
+    boxes = spark.createDataFrame([(1, '<c:container xmlns:c="u"><c:rootfile full-path=""/><c:rootfile full-path="b/y.opf"/></c:container>'), (2, "<container><rootfile full-path='x.opf'>"), (3, "<container/>"), (4, "<container/>")], "doc_id long, x string")
+    names = spark.createDataFrame([(1, "a.opf"), (2, "b.opf"), (2, "a/z/b.opf"), (2, "a.b/c.opf"), (3, "d.opf"), (3, "c.opf"), (3, "a.OPF"), (4, "a.txt")], "book_id long, name string")
+    return opf.package_path(reader.shred(boxes, "doc_id", "x"), names)
+
+
+@query(f"SELECT book_id, k, CASE WHEN k % 4 = 0 THEN 'img/' || replace(brand, '#', '%20') || '%20' || k || '.jpg' ELSE {_HREF} END AS href, CASE WHEN k % 4 = 0 THEN 'image/jpeg' ELSE 'image/png' END AS media_type FROM ({_PART})")
+def rename_percent(spark, sf_dir):
+    """Escaped addresses, renamed by their decoded paths or names."""
+    part = table(spark, sf_dir, "part")
+    name = F.concat(F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit(" "), F.col("p_partkey").cast("string"))
+    items = part.select(F.col("p_size").alias("book_id"), F.col("p_partkey").alias("k"), F.concat(F.lit("img/"), F.replace(name, F.lit(" "), F.lit("%20")), F.lit(".png")).alias("href"), F.lit("image/png").alias("media_type"))
+    folder = F.when(F.col("p_partkey") % 8 == 0, "img/").otherwise("else/")
+    processed = part.filter("p_partkey % 4 = 0").select(F.col("p_size").alias("book_id"), F.concat(folder, name, F.lit(".png")).alias("path"), F.concat(name, F.lit(".jpg")).alias("filename"))
+    return books.rename_hrefs(items, references.rename_map(processed))
+
+
+@query("SELECT p_partkey AS k, 'a { b: url(img/' || CASE WHEN p_partkey % 4 = 0 THEN 'n ' || p_partkey || '.jpg' ELSE 'n%20' || p_partkey || '.png' END || ') c: url(x.png) url(open' AS css, true AS changed FROM part")
+def css_urls(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"))
+    key = F.col("book_id").cast("string")
+    sheets = part.select("book_id", F.concat(F.lit("a { b: url( 'img/n%20"), key, F.lit(".png') c: url(\"x.png\") url(open"))).toDF("book_id", "css")
+    renames = part.filter("book_id % 4 = 0").select("book_id", F.concat(F.lit("z/n "), key, F.lit(".png")).alias("old_path"), F.concat(F.lit("z/n "), key, F.lit(".jpg")).alias("new_path"))
+    return references.update_sheets(sheets, renames).select(F.col("book_id").alias("k"), "css", "changed")
+
+
+_MARKUP = [
+    (1, "<html><head><title>t</title></head><body><pre>page-break-before</pre><p>x</p></body></html>", '<html><head><title>t</title><style type="text/css">h1, h2 { page-break-before: always; }</style></head><body><pre>page-break-before</pre><p>x</p></body></html>'),
+    (2, "<html><head><style>p { page-break-before: always }</style></head><body/></html>", "<html><head><style>p { page-break-before: always }</style></head><body></body></html>"),
+    (3, "<html><body><p><!-- x --></p><p></p> <p>y</p><svg><image xlink:href='a.png' xmlns:xlink='u'/></svg><svg><g/><image/></svg></body></html>", '<html><body><p><!-- x --></p> <p>y</p><img src="a.png" alt="Cover" style="max-width: 100%; max-height: 100%;"/><svg><g></g><image></image></svg></body></html>'),
+    (4, "<html><body><p>Wait..... so</p><script>a....b</script></body></html>", "<html><body><p>Wait... so</p><script>a....b</script></body></html>"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{v}')" for k, _, v in _MARKUP) + ") t(doc_id, markup)")
+def markup_steps(spark, sf_dir):
+    """Small documents through the steps for markup, written again."""
+    nodes = kept(reader.shred(spark.createDataFrame([(k, x) for k, x, _ in _MARKUP], "doc_id long, x string"), "doc_id", "x"))
+    cleaned = kept(markup.clean_text(opf.svg_covers(markup.collapse_blank_blocks(nodes))).select(nodes.columns))
+    out = reader.unshred(markup.add_page_breaks(cleaned))
+    return out.select("doc_id", F.col("content").alias("markup"))
+
+
+@query("SELECT l_linenumber::BIGINT AS image_id, 0 AS slot, l_quantity::INT AS symbol, count(*) AS n FROM lineitem GROUP BY ALL")
+def huffman_counts(spark, sf_dir):
+    return huffman.symbol_counts(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("image_id"), F.lit(0).alias("slot"), F.col("l_quantity").cast("int").alias("symbol")))
+
+
+@query()
+def huffman_tables(spark, sf_dir):
+    return huffman.tables(huffman_counts(spark, sf_dir))
+
+
+@query("""WITH b AS (SELECT p_size::BIGINT AS book_id, sum(p_partkey) AS a, count(*) AS n FROM part GROUP BY ALL)
+SELECT book_id, concat_ws('; ', 'Converted ' || n || '/' || n || ' images (' || n || ' PNG)', 'Removed ' || a || ' embedded fonts', CASE WHEN book_id % 2 = 0 THEN 'TOC: TOC is valid' END, 'Text cleanup: ' || n || ' extra spaces, 2 unicode fixes',
+  'Removed ' || n || ' OS artifacts', 'Size: 1.0 KB → ' || CASE WHEN book_id % 3 = 0 THEN '512.0 B (50.0% reduction)' ELSE '2.0 KB (100.0% increase)' END) AS summary FROM b""")
+def book_reports(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("book_id"), "p_partkey")
+    one = lambda c, n: part.select("book_id", F.lit(c).alias("counter"), n.alias("n"))
+    steps = one("images_total", F.lit(1)).unionByName(one("images_converted", F.lit(1))).unionByName(one("fonts_removed", F.col("p_partkey"))).unionByName(one("os_artifacts_removed", F.lit(1)))
+    seen = reports.counters(steps).withColumn("image_formats", F.create_map(F.lit("PNG"), F.col("images_total"))).withColumn("toc_status", F.when(F.col("book_id") % 2 == 0, "TOC is valid").otherwise(""))
+    for c in ("ocr_ligatures", "smart_quotes", "encoding", "punctuation"):
+        seen = seen.withColumn(c, F.lit(0))
+    seen = seen.withColumn("double_spaces", F.col("images_total")).withColumn("unicode", F.lit(2)).withColumn("original_size", F.lit(1024)).withColumn("optimized_size", F.when(F.col("book_id") % 3 == 0, 512).otherwise(2048))
+    return seen.select("book_id", reports.book_summary().alias("summary"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 4::BIGINT), (2, 0), (3, 1)) t(book_id, removed)")
+def junk_removed(spark, sf_dir):
+    names = [(1, ".DS_Store"), (1, "a/Thumbs.db"), (1, "__MACOSX/x"), (1, "__MACOSX/y/z"), (1, "a/.git/b"), (1, "a/b.txt"), (2, "x"), (3, "__MACOSX/x")]
+    return archives.removed_junk(spark.createDataFrame(names, "book_id long, name string"))
+
+
+@query("SELECT p_size::BIGINT AS book_id, CASE split_part(p_type, ' ', 1) WHEN 'STANDARD' THEN 'xhtml' WHEN 'SMALL' THEN 'css' ELSE 'image' END AS kind, count(*) AS n FROM part GROUP BY ALL")
+def content_kinds(spark, sf_dir):
+    first = F.substring_index("p_type", " ", 1)
+    kind = paths.content_kind(F.when(first == "STANDARD", "text/html").when(first == "SMALL", "text/CSS").otherwise("image/png"), F.lit("x"))
+    return reports.content_kinds(table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("book_id"), kind.alias("kind")))
+
+
+@query("SELECT id, width, height, gray_levels FROM (VALUES ('x4', 480, 800, 4), ('x3', 528, 792, 4)) t(id, width, height, gray_levels)")
+def device_list(spark, sf_dir):
+    return settings.devices(spark)
+
+
+@query("SELECT c_custkey, CASE WHEN b = 0 THEN '0.0' ELSE printf('%.1f', abs((1 - a / b) * 100)) END || CASE WHEN a <= b THEN '% smaller' ELSE '% larger' END AS change, CASE WHEN c_custkey % 2 = 1 THEN b ELSE 0 END AS counted FROM (SELECT c_custkey, (c_custkey % 7 * 500)::DOUBLE AS b, (c_custkey * 31 % 1000)::DOUBLE AS a FROM customer)")
+def result_rows(spark, sf_dir):
+    before, after = (F.col("c_custkey") % 7 * 500).cast("double"), (F.col("c_custkey") * 31 % 1000).cast("double")
+    return table(spark, sf_dir, "customer").select("c_custkey", reports.result_row(before, after)[0], reports.first_part_size(F.col("c_custkey") % 2, before).alias("counted"))
+
+
+def _books(spark, sf_dir):
+    """An archive for each source: its documents as chapters with spoiled texts, a font, junk, and a list of them."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.col("source").alias("book_id"), text.spoil(F.regexp_replace("text", "[\\x{0}-\\x{8}\\x{b}\\x{c}\\x{d}-\\x{1f}]", " ")).alias("text"))
+    key = F.col("doc_id").cast("string")
+    page = F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><head><title>t</title></head><body role="x"><p>'), paths.escape_text(F.col("text")), F.lit("</p></body></html>"))
+    files = docs.select("book_id", F.concat(F.lit("OEBPS/c "), key, F.lit(".xhtml")).alias("name"), page.cast("binary").alias("content"))
+    item = F.concat(F.lit('<item id="c'), key, F.lit('" href="c%20'), key, F.lit('.xhtml" media-type="application/xhtml+xml"/>'))
+    held = docs.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("items"))
+    package = F.concat(F.lit('<package xmlns="http://www.idpf.org/2007/opf"><metadata/><manifest><item id="f" href="f.ttf" media-type="font/ttf"/>'), "items", F.lit("</manifest><spine/></package>"))
+    extra = [("mimetype", F.lit(archives.MIME)), (archives.CONTAINER, F.lit('<container><rootfiles><rootfile full-path="OEBPS/p.opf"/></rootfiles></container>')), ("OEBPS/p.opf", package), ("OEBPS/f.ttf", F.lit("font")), ("OEBPS/.DS_Store", F.lit("x"))]
+    for name, content in extra:
+        files = files.unionByName(held.select("book_id", F.lit(name).alias("name"), content.cast("binary").alias("content")))
+    made = archives.zipped(files)
+    return made.select("book_id", F.col("archive").alias("content"))
+
+
+_PLAIN = "SELECT doc_id, source, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0d-\\x1f]', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL"
+_PLAIN_CLEAN = text.clean_sql(f"SELECT doc_id, source, {text.spoil_sql('text')} AS text FROM ({_PLAIN})", "doc_id, source")
+
+
+@query(f"SELECT source AS book_id, doc_id, md5(text) AS text_md5, false AS font FROM ({_PLAIN_CLEAN})")
+def book_end_to_end(spark, sf_dir):
+    """Archives processed, packed and read again: the text of each chapter, and whether its book's list still has the font."""
+    made, _ = process.process(_books(spark, sf_dir))
+    entries = kept(archives.extract(made.select("book_id", F.col("archive").alias("content"))))
+    font = entries.groupBy("book_id").agg(F.max((F.col("name").endswith(".ttf") | (F.col("name").endswith(".opf") & F.col("content").cast("string").contains(".ttf"))).cast("int")).alias("font"))
+    pages = entries.filter("name like '%.xhtml'").select(F.regexp_extract("name", "(\\d+)", 1).cast("long").alias("doc_id"), "book_id", F.col("content").cast("string").alias("x"))
+    nodes = reader.shred(pages.select("doc_id", "x"), "doc_id", "x")
+    inside = nodes.filter("kind = 'element' and name = 'p'").select("doc_id", F.col("node_id").alias("parent_id"))
+    said = inside.join(nodes.filter("kind = 'text'").select("doc_id", "parent_id", "text"), ["doc_id", "parent_id"], "left")
+    return said.join(pages.select("doc_id", "book_id"), "doc_id").join(font, "book_id").select("book_id", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), (F.col("font") == 1).alias("font"))
+
+
+@query(f"SELECT source AS book_id, count(*) AS chapters, sum(double_spaces + ocr_ligatures + smart_quotes + encoding + punctuation + unicode)::BIGINT AS fixes, 1::BIGINT AS fonts, 1::BIGINT AS junk FROM ({_PLAIN_CLEAN}) GROUP BY source")
+def book_counters(spark, sf_dir):
+    archives_ = kept(_books(spark, sf_dir))
+    _, report = process.process(archives_)
+    n = archives.extract(archives_).filter("name like '%.xhtml'").groupBy("book_id").agg(F.count("*").alias("chapters"))
+    pick = lambda *names: F.coalesce(F.sum(F.when(F.col("counter").isin(*names), F.col("n"))), F.lit(0))
+    return report.groupBy("book_id").agg(pick(*text.COUNTERS).alias("fixes"), pick("fonts_removed").alias("fonts"), pick("os_artifacts_removed").alias("junk")).join(n, "book_id")

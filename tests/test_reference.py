@@ -126,7 +126,7 @@ def test_images(spark):
 
 def test_reports(spark):
     row = spark.createDataFrame([(1, 0, 0, 0, 2, 0)], ", ".join(f"{c} int" for c in text.COUNTERS))
-    assert row.select(reports.summary()).first()[0] == "1 spaces, 2 punctuation"
+    assert row.select(reports.summary()).first()[0] == "1 extra spaces, 2 punctuation fixes"
     sizes = spark.createDataFrame([(0,), (1023,), (1536,), (3 << 40,)], "n long").select(paths.format_size(F.col("n"))).collect()
     assert [r[0] for r in sizes] == ["0.0 B", "1023.0 B", "1.5 KB", "3.0 TB"]
 
