@@ -13,9 +13,8 @@ against what chance would give and what the smaller could share at most, which g
 a digest's score is the mean, over the filters of the shorter one, of the best score in the
 other.  Filters with fewer than ``LEAST`` features count only where a digest has no other.
 
-`fingerprints` compares each document with the first holder of every feature it has, the
-document of least (doc_id, text fingerprint) among all that have it, and the first holder with each of
-those: a feature of k documents costs k - 1 comparisons, and all of them are made.  ``match`` is the best of
+`fingerprints` compares each document with every other one that has a feature of it.  Copies of a text have one digest,
+which is compared once; texts that features connect meet in blocks, any two of them in one.  ``match`` is the best of
 those that a document was compared with (ties: the least doc_id) and ``score`` the comparison's result.
 Null ``match``: no feature is anyone else's.
 
@@ -33,12 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm import jaccard
 from foliant.llm.core import Packer, U, binary, buffers, documents, durable, id_text, pack, partitions, pieces, spans_hash, text_prints, unpack
 from foliant.llm.repeats import sliding_least
 
 WINDOW, RUN, POPULAR = 64, 64, 16
 LOWEST, HIGHEST = 100, 990
 BITS, PER_FILTER, HASHES, LEAST = 2048, 160, 5, 16
+#: Weight (shared features, and 48 for each text) of a cell in which texts are compared.
+CELL = 1 << 19
 _SCALE = 1 << 20
 _C = np.arange(WINDOW + 1)
 _CLOGC = np.zeros(WINDOW + 1, np.int64)
@@ -164,6 +166,7 @@ DIGEST = "doc_id long, print long, n_features int, digest binary, part int, bloc
 
 def _digests(batches: Iterator[pa.RecordBatch], rank: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """A row for each document's digest, and rows that take its features to their partitions."""
+    sent = np.zeros(0, np.int64)
     for batch in pieces(batches):
         valid = np.asarray(batch.column(0).is_valid())
         ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
@@ -178,6 +181,12 @@ def _digests(batches: Iterator[pa.RecordBatch], rank: np.ndarray, parts: int) ->
         none = pa.nulls(len(own), pa.int32())
         digest = [filters(value[edge[d] : edge[d + 1]]).tobytes() for d in own]
         yield pa.record_batch([pa.array(ids[own]), pa.array(prints[own]), pa.array(count[own].astype(np.int32)), binary(digest), none, binary([None] * len(own))], names=["doc_id", "print", "n_features", "digest", "part", "block"])
+        # a text that this task has sent before isn't sent again
+        texts, at = np.unique(np.where(valid, prints, 0), return_index=True)
+        new = ~np.isin(texts, sent, assume_unique=True)
+        sent = np.union1d(sent, texts[new])
+        stay = np.isin(doc, at[new])
+        doc, value = doc[stay], value[stay]
         if not len(doc):
             continue
         order, present, begin = Packer.split((value % U(parts)).astype(np.int64), parts)
@@ -185,44 +194,109 @@ def _digests(batches: Iterator[pa.RecordBatch], rank: np.ndarray, parts: int) ->
         for i in range(len(present)):
             rows = np.sort(order[begin[i] : begin[i + 1]])
             who, n = np.unique(doc[rows], return_counts=True)
-            blocks.append(pack(ids[who], prints[who], n.astype(np.uint32), value[rows]))
+            blocks.append(pack(prints[who], n.astype(np.uint32), value[rows]))
         k = len(present)
         gone = pa.nulls(k, pa.int64())
         yield pa.record_batch([gone, gone, pa.nulls(k, pa.int32()), binary([None] * k), pa.array(present.astype(np.int32)), binary(blocks)], names=["doc_id", "print", "n_features", "digest", "part", "block"])
 
 
-def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (document, first holder of one of its features), where they differ."""
-    ids, prints, ref, value, total = [], [], [], [], 0
+def _sharers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that share features here, with one that stands for those connected here, and those features."""
+    prints, count, value = [], [], []
     for batch in batches:
         for block in batch.column(1):
-            i, p, n, v = unpack(block.as_buffer(), np.int64, np.int64, np.uint32, np.uint64)
-            ids.append(i.copy())
-            prints.append(p.copy())
-            ref.append(np.repeat(np.arange(total, total + len(i), dtype=np.uint32), n))
-            value.append(v.copy())
-            total += len(i)
-    if not ids:
+            for out, x in zip((prints, count, value), unpack(block.as_buffer(), np.int64, np.uint32, np.uint64), strict=True):
+                out.append(x.copy())
+    if not prints:
         return
-    ids, prints, ref, value = (np.concatenate(x) for x in (ids, prints, ref, value))
-    rank = np.empty(len(ids), np.int64)
-    rank[np.lexsort((prints, ids))] = np.arange(len(ids))
-    order = np.argsort(value, kind="stable")
-    value, ref = value[order], ref[order]
+    names, own = np.unique(np.concatenate(prints), return_inverse=True)
+    who, value = np.repeat(own, np.concatenate(count)), np.concatenate(value)
+    order = np.lexsort((who, value))
+    who, value = who[order], value[order]
+    new = np.r_[True, (value[1:] != value[:-1]) | (who[1:] != who[:-1])]
+    who, value = who[new], value[new]
     begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-    least = np.minimum.reduceat(rank[ref], begin)
-    back = np.argsort(rank)
-    holder = back[np.repeat(least, np.diff(np.r_[begin, len(value)]))]
-    differ = (ids[ref] != ids[holder]) | (prints[ref] != prints[holder])
-    pair = np.unique(np.stack([ids[ref], prints[ref], ids[holder], prints[holder]])[:, differ], axis=1)
-    yield pa.record_batch([pa.array(x) for x in pair], names=["a", "print_a", "b", "print_b"])
-
-
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, na, b, nb = (batch.column(c).to_pylist() for c in ("digest_a", "n_a", "digest_b", "n_b"))
-        score = [compare(*x) for x in zip(a, na, b, nb, strict=True)]
-        yield pa.record_batch([*[batch.column(c) for c in ("a", "print_a", "b", "print_b")], pa.array(score, pa.float64())], names=["a", "print_a", "b", "print_b", "score"])
+    held = np.diff(np.r_[begin, len(value)])
+    shared = np.repeat(held > 1, held)
+    tree = jaccard.Tree(len(names))
+    tree.add(who[shared], who[np.repeat(begin, held)][shared])
+    who, value = who[shared], value[shared]
+    order = np.argsort(who, kind="stable")
+    who, value = who[order], value[order]
+    edge = np.flatnonzero(np.r_[True, who[1:] != who[:-1], True]) if len(who) else np.zeros(1, np.int64)
+    own = who[edge[:-1]]
+    for at in range(0, len(own), 1 << 16):
+        k = range(at, min(len(own), at + (1 << 16)))
+        few = own[k.start : k.stop]
+        yield pa.record_batch([pa.array(names[few]), pa.array(names[tree.find(few)]), binary([value[edge[j] : edge[j + 1]].tobytes() for j in k])], names=["p", "root", "own"])
+
+
+def scores(digest: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`compare` for many pairs of numbered digests that have features."""
+    chain = np.array([len(x) for x in digest], np.int64) // (BITS // 8)
+    table = np.frombuffer(b"".join(digest), np.uint64).reshape(-1, BITS // 64)
+    start = np.cumsum(chain) - chain
+    bits = np.bitwise_count(table).sum(axis=1).astype(float)
+    full = np.where((n - (chain - 1) * PER_FILTER < LEAST) & (chain > 1), chain - 1, chain)
+    swap = (chain[a] > chain[b]) | ((chain[a] == chain[b]) & (n[a] > n[b]))
+    x, y = np.where(swap, b, a), np.where(swap, a, b)
+    out = np.empty(len(x))
+    wide = int(full.max(initial=1)) + 1
+    shape = full[x] * wide + full[y]
+    for one in np.unique(shape):
+        rows, (fx, fy) = np.flatnonzero(shape == one), divmod(int(one), wide)
+        step = max(1, (1 << 14) // fy)
+        for at in range(0, len(rows), step):
+            k = rows[at : at + step]
+            theirs = start[y[k]][:, None] + np.arange(fy)
+            best = np.empty((len(k), fx))
+            for i in range(fx):
+                mine = start[x[k]] + i
+                shared = np.bitwise_count(table[mine][:, None] & table[theirs]).sum(axis=2).astype(float)
+                set_x, set_y = bits[mine][:, None], bits[theirs]
+                chance, most = set_x * set_y / BITS, np.minimum(set_x, set_y)
+                floor = chance + 0.3 * (most - chance)
+                best[:, i] = np.where(most > floor, np.clip((shared - floor) / np.maximum(most - floor, 1e-9), 0, 1), 0).max(axis=1)
+            out[k] = 100 * best.mean(axis=1)
+    return np.array([round(v, 3) for v in out.tolist()], float)
+
+
+def _best(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Each text's best score among those of its block and group that share a feature, and whose it is."""
+    block, label, side, p, rep, n = (rows.column(c).to_numpy() for c in ("block", "label", "side", "p", "rep", "n_features"))
+    digest, own = rows.column("digest").to_pylist(), rows.column("own").to_pylist()
+    order = np.lexsort((label, block))
+    run = np.empty(len(p), np.int64)
+    run[order] = np.cumsum(np.r_[False, (block[order][1:] != block[order][:-1]) | (label[order][1:] != label[order][:-1])])
+    ref = np.repeat(np.arange(len(p)), [len(x) // 8 for x in own])
+    value = np.frombuffer(b"".join(own), np.uint64)
+    order = np.lexsort((ref, value, run[ref]))
+    ref, value = ref[order], value[order]
+    begin = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (run[ref][1:] != run[ref][:-1])])
+    held = np.diff(np.r_[begin, len(ref)])
+    rare = (held > 1) & (held * held <= jaccard.LISTED)
+    common = [(ref[a : a + k],) * 2 for a, k in zip(begin, held, strict=True) if k * k > jaccard.LISTED]
+    best, match = np.full(len(p), -1.0), np.zeros(len(p), np.int64)
+
+    def met() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for x, y in jaccard._listed([begin[rare], held[rare]], [begin[rare], held[rare]], (held * held)[rare]):
+            yield ref[x], ref[y]
+        if common:
+            yield from jaccard._tiled(common)
+
+    for x, y in met():
+        good = (x != y) & ((side[x] == jaccard.BOTH) | (side[x] != side[y]))
+        code = np.unique((np.minimum(x, y)[good] << 32) | np.maximum(x, y)[good])
+        x, y = code >> 32, code & 0xFFFFFFFF
+        score = scores(digest, n, x, y)
+        x, y, score = np.r_[x, y], np.r_[y, x], np.r_[score, score]
+        order = np.lexsort((rep[y], -score, x))
+        order = order[np.r_[True, x[order][1:] != x[order][:-1]]] if len(order) else order
+        x, y, score = x[order], rep[y[order]], score[order]
+        better = (score > best[x]) | ((score == best[x]) & (y < match[x]))
+        best[x[better]], match[x[better]] = score[better], y[better]
+    own = best >= 0
+    yield pa.record_batch([pa.array(p[own]), pa.array(best[own]), pa.array(match[own])], names=["p", "score", "match"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -231,16 +305,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rank = ranks(docs)
     made = durable(id_text(docs).mapInArrow(lambda it: _digests(it, rank, parts), DIGEST))
     digests = made.filter("part is null").select("doc_id", "print", "n_features", "digest").dropDuplicates(["doc_id", "print"])
-    pairs = made.filter("part is not null").select("part", "block").repartitionById(parts, F.col("part")).mapInArrow(_holders, "a long, print_a long, b long, print_b long").distinct()
-    for x in ("a", "b"):
-        own = digests.select(F.col("doc_id").alias(x), F.col("print").alias(f"print_{x}"), F.col("digest").alias(f"digest_{x}"), F.col("n_features").alias(f"n_{x}"))
-        pairs = pairs.join(own, [x, f"print_{x}"])
-    scored = pairs.mapInArrow(_scores, "a long, print_a long, b long, print_b long, score double")
-    one = F.struct(F.col("a").alias("a"), F.col("print_a").alias("print_a"), F.col("b").alias("b"), F.col("score").alias("score"))
-    other = F.struct(F.col("b").alias("a"), F.col("print_b").alias("print_a"), F.col("a").alias("b"), F.col("score").alias("score"))
-    scored = scored.select(F.explode(F.array(one, other)).alias("x")).select("x.*")
-    best = scored.groupBy(F.col("a").alias("doc_id"), F.col("print_a").alias("print")).agg(F.max(F.struct("score", (-F.col("b")).alias("b"))).alias("best"))
-    return digests.join(best, ["doc_id", "print"], "left").select("doc_id", F.col("print").alias("text_print"), "n_features", "digest", (-F.col("best.b")).alias("match"), F.col("best.score").alias("score"))
+    shared = durable(made.filter("part is not null").select("part", "block").repartitionById(parts, F.col("part")).mapInArrow(_sharers, "p long, root long, own binary"))
+    label = jaccard.groups(shared.select(F.col("p").alias("doc_a"), F.col("root").alias("doc_b"))).select(F.col("doc_id").alias("p"), F.col("keeper").alias("label"))
+    features = shared.groupBy("p").agg(F.aggregate(F.collect_list("own"), F.lit(b""), lambda a, b: F.concat(a, b)).alias("own"))
+    ids = durable(made.filter("part is null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
+    texts = label.join(features, "p").join(ids.select(F.col("print").alias("p"), "rep"), "p").withColumn("weight", F.length("own") / 8 + 48)
+    texts = durable(texts.join(made.filter("part is null").select(F.col("doc_id").alias("rep"), F.col("print").alias("p"), "n_features", "digest").dropDuplicates(["rep", "p"]), ["rep", "p"]))
+    asked = jaccard.in_cells(texts, CELL).select("block", "label", "side", "p", "rep", "n_features", "digest", "own")
+    scored = asked.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(jaccard._by_block(_best), "p long, score double, match long")
+    best = scored.groupBy(F.col("p").alias("print")).agg(F.max(F.struct("score", (-F.col("match")).alias("b"))).alias("best"))
+    # a copy of the same text scores 100
+    several = ids.filter("last > rep")
+    second = made.filter("part is null").select("doc_id", "print").join(several, "print").filter("doc_id <> rep").groupBy("print").agg(F.min("doc_id").alias("second"))
+    known = best.join(several.join(second, "print"), "print", "full").select("print", "best", "rep", "second")
+    other = F.when(F.col("doc_id") == F.col("rep"), F.col("second")).otherwise(F.col("rep"))
+    copy = F.when((F.col("n_features") > 0) & other.isNotNull(), F.struct(F.lit(100.0).alias("score"), (-other).alias("b")))
+    return digests.join(known, "print", "left").withColumn("best", F.greatest("best", copy)).select("doc_id", F.col("print").alias("text_print"), "n_features", "digest", (-F.col("best.b")).alias("match"), F.col("best.score").alias("score"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

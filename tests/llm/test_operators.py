@@ -92,16 +92,7 @@ def test_fingerprints(docs, empty):
         p = int(digests.text_prints(d, off).view(np.int64)[0])
         by[i, p] = slow_digest(t or "", rank)
         assert got[i, p].n_features == len(by[i, p])
-    holder = {}
-    for key in sorted(by):
-        for f in by[key]:
-            holder.setdefault(f, key)
-    met = defaultdict(set)
-    for key, own in by.items():
-        for f in own:
-            if holder[f] != key:
-                met[key].add(holder[f])
-                met[holder[f]].add(key)
+    met = {key: {o for o in by if o != key and set(by[o]) & set(own)} for key, own in by.items()}
     for key, own in by.items():
         others = met[key]
         score = {o: digests.compare(bytes(got[key].digest), len(own), bytes(got[o].digest), len(by[o])) for o in others}
