@@ -14,7 +14,8 @@ a digest's score is the mean, over the filters of the shorter one, of the best s
 other.  Filters with fewer than ``LEAST`` features count only where a digest has no other.
 
 `fingerprints` compares each document with every other one that has a feature of it.  Copies of a text have one digest,
-which is compared once; texts that features connect meet in blocks, any two of them in one.  ``match`` is the best of
+which is compared once; the texts that have a feature meet under its least holder, so a text goes only where
+others share something with it, in cells where one holder stands for many.  ``match`` is the best of
 those that a document was compared with (ties: the least doc_id) and ``score`` the comparison's result.
 Null ``match``: no feature is anyone else's.
 
@@ -201,7 +202,7 @@ def _digests(batches: Iterator[pa.RecordBatch], rank: np.ndarray, parts: int) ->
 
 
 def _sharers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts that share features here, with one that stands for those connected here, and those features."""
+    """Texts that share features here, once for each least holder of these: with it as label, and those features."""
     prints, count, value = [], [], []
     for batch in batches:
         for block in batch.column(1):
@@ -218,17 +219,14 @@ def _sharers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
     held = np.diff(np.r_[begin, len(value)])
     shared = np.repeat(held > 1, held)
-    tree = jaccard.Tree(len(names))
-    tree.add(who[shared], who[np.repeat(begin, held)][shared])
+    label = np.repeat(who[begin], held)[shared]
     who, value = who[shared], value[shared]
-    order = np.argsort(who, kind="stable")
-    who, value = who[order], value[order]
-    edge = np.flatnonzero(np.r_[True, who[1:] != who[:-1], True]) if len(who) else np.zeros(1, np.int64)
-    own = who[edge[:-1]]
-    for at in range(0, len(own), 1 << 16):
-        k = range(at, min(len(own), at + (1 << 16)))
-        few = own[k.start : k.stop]
-        yield pa.record_batch([pa.array(names[few]), pa.array(names[tree.find(few)]), binary([value[edge[j] : edge[j + 1]].tobytes() for j in k])], names=["p", "root", "own"])
+    order = np.lexsort((label, who))
+    who, label, value = who[order], label[order], value[order]
+    edge = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (label[1:] != label[:-1]), True]) if len(who) else np.zeros(1, np.int64)
+    for at in range(0, len(edge) - 1, 1 << 16):
+        few = edge[at : at + (1 << 16) + 1]
+        yield pa.record_batch([pa.array(names[who[few[:-1]]]), pa.array(names[label[few[:-1]]]), binary([value[i:j].tobytes() for i, j in zip(few[:-1], few[1:], strict=True)])], names=["p", "label", "own"])
 
 
 def scores(digest: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -262,7 +260,7 @@ def scores(digest: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray) ->
 
 
 def _best(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Each text's best score among those of its block and group that share a feature, and whose it is."""
+    """Each text's best score among those of its block and label that share a feature, and whose it is."""
     block, label, side, p, rep, n = (rows.column(c).to_numpy() for c in ("block", "label", "side", "p", "rep", "n_features"))
     digest, own = rows.column("digest").to_pylist(), rows.column("own").to_pylist()
     order = np.lexsort((label, block))
@@ -305,11 +303,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rank = ranks(docs)
     made = durable(id_text(docs).mapInArrow(lambda it: _digests(it, rank, parts), DIGEST))
     digests = made.filter("part is null").select("doc_id", "print", "n_features", "digest").dropDuplicates(["doc_id", "print"])
-    shared = durable(made.filter("part is not null").select("part", "block").repartitionById(parts, F.col("part")).mapInArrow(_sharers, "p long, root long, own binary"))
-    label = jaccard.groups(shared.select(F.col("p").alias("doc_a"), F.col("root").alias("doc_b"))).select(F.col("doc_id").alias("p"), F.col("keeper").alias("label"))
-    features = shared.groupBy("p").agg(F.aggregate(F.collect_list("own"), F.lit(b""), lambda a, b: F.concat(a, b)).alias("own"))
+    shared = durable(made.filter("part is not null").select("part", "block").repartitionById(parts, F.col("part")).mapInArrow(_sharers, "p long, label long, own binary"))
+    features = shared.groupBy("p", "label").agg(F.aggregate(F.collect_list("own"), F.lit(b""), lambda a, b: F.concat(a, b)).alias("own"))
     ids = durable(made.filter("part is null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
-    texts = label.join(features, "p").join(ids.select(F.col("print").alias("p"), "rep"), "p").withColumn("weight", F.length("own") / 8 + 48)
+    texts = features.join(ids.select(F.col("print").alias("p"), "rep"), "p").withColumn("weight", F.length("own") / 8 + 48)
     texts = durable(texts.join(made.filter("part is null").select(F.col("doc_id").alias("rep"), F.col("print").alias("p"), "n_features", "digest").dropDuplicates(["rep", "p"]), ["rep", "p"]))
     asked = jaccard.in_cells(texts, CELL).select("block", "label", "side", "p", "rep", "n_features", "digest", "own")
     scored = asked.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(jaccard._by_block(_best), "p long, score double, match long")
